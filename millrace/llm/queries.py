@@ -46,14 +46,19 @@ def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (p2_found, p3_found, p3_fused, p8_ids, p9_mix, p9_report, p10_found)}
 _EDGE = r"[\p{Z}\p{Cc}\p{Cf}]+"
-_TRIMMED = f"regexp_replace({{}}, '^{_EDGE}|{_EDGE}$', '', 'g')"
-_GIVEN = ", ".join(f"{{'field': '{f}', 'value': {_TRIMMED.format(f)}}}" for f in FIELDS)
+
+
+def _trimmed(column: str) -> str:
+    return f"regexp_replace({column}, '^{_EDGE}|{_EDGE}$', '', 'g')"
+
+
+_GIVEN = ", ".join(f"{{'field': '{f}', 'value': {_trimmed(f)}}}" for f in FIELDS)
 _STAND_INS = ", ".join(f"'{s}'" for s in STAND_INS)
 SQL: dict[str, str] = {
     "p3_found": rf"""
         with records as (
             select record_id,
-                   upper(translate({_TRIMMED.format('id_order')}, '٠١٢٣٤٥٦٧٨٩۰۱۲۳۴۵۶۷۸۹', '01234567890123456789')) as k,
+                   upper(translate({_trimmed('id_order')}, '٠١٢٣٤٥٦٧٨٩۰۱۲۳۴۵۶۷۸۹', '01234567890123456789')) as k,
                    coalesce(trust, 0) as t,
                    epoch_us(try_cast(updated_at || case when regexp_matches(updated_at, '(Z|[+-][0-9][0-9]:[0-9][0-9])$') then '' else '+00:00' end as timestamptz)) as u,
                    [{_GIVEN}] as fields
