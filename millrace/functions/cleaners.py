@@ -28,6 +28,11 @@ ISO_PATTERN = r"^\d{4}-\d{2}-\d{2}([T ]\d{2}:\d{2}(:\d{2}(\.\d{1,6})?)?([+-]\d{2
 NUMBER_PATTERN = r"^[+-]?(\d+(\.\d*)?|\.\d+)([eE][+-]?\d+)?$"
 
 
+def strip(col: Column) -> Column:
+    """Without white space of any kind at the ends."""
+    return F.regexp_replace(col, r"(?U)^\s+|\s+$", "")
+
+
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
     """body(value) with value computed once: without it, nested cleaners would multiply the size of the expression."""
     return F.transform(F.array(value), body)[0]
@@ -61,22 +66,22 @@ def _foreign(text: Column) -> Column:
 def currency_code(col: Column) -> Column:
     """The currency a text names: a foreign one first, in the list's order; else YER if one of its synonyms occurs; else null."""
     codes = {n: FOREIGN_CODES.get(n, n.upper()) for n in FOREIGN}
-    return let(F.trim(col), lambda t: F.coalesce(lookup(_foreign(t), codes), F.when(t.rlike(_any(YER_SYNONYMS)), F.lit("YER"))))
+    return let(strip(col), lambda t: F.coalesce(lookup(_foreign(t), codes), F.when(t.rlike(_any(YER_SYNONYMS)), F.lit("YER"))))
 
 
 def without_currency(col: Column) -> Column:
     """The text without the name of the currency that currency_code finds in it: that foreign name, or all synonyms of the home currency."""
 
-    def strip(both: Column) -> Column:
-        foreign = F.trim(F.regexp_replace(both["text"], F.concat(F.lit("(?iu)\\Q"), both["name"], F.lit("\\E")), F.lit("")))
-        return F.when(both["name"].isNotNull(), foreign).otherwise(F.trim(F.regexp_replace(both["text"], _any(YER_SYNONYMS), "")))
+    def without(both: Column) -> Column:
+        foreign = strip(F.regexp_replace(both["text"], F.concat(F.lit("(?iu)\\Q"), both["name"], F.lit("\\E")), F.lit("")))
+        return F.when(both["name"].isNotNull(), foreign).otherwise(strip(F.regexp_replace(both["text"], _any(YER_SYNONYMS), "")))
 
-    return let(F.trim(col), lambda t: let(F.struct(t.alias("text"), _foreign(t).alias("name")), strip))
+    return let(strip(col), lambda t: let(F.struct(t.alias("text"), _foreign(t).alias("name")), without))
 
 
 def number_word(col: Column) -> Column:
     """The number that an amount in words is, null for other texts."""
-    return lookup(F.trim(col), NUMBER_WORDS)
+    return lookup(strip(col), NUMBER_WORDS)
 
 
 def phone(col: Column) -> Column:
@@ -87,8 +92,8 @@ def phone(col: Column) -> Column:
 
 
 def email(col: Column) -> Column:
-    """Trimmed, runs of @ and of points as one; null becomes empty."""
-    return F.coalesce(F.regexp_replace(F.regexp_replace(F.trim(col), "@+", "@"), r"\.+", "."), F.lit(""))
+    """Stripped, runs of @ and of points as one; null becomes empty."""
+    return F.coalesce(F.regexp_replace(F.regexp_replace(strip(col), "@+", "@"), r"\.+", "."), F.lit(""))
 
 
 def date(col: Column) -> Column:
@@ -101,12 +106,12 @@ def date(col: Column) -> Column:
 
     def split(tidy: Column) -> Column:
         day = F.split(F.translate(F.translate(F.substring_index(tidy, "T", 1), " ", ""), "/", "-"), "-")
-        clock = F.coalesce(F.concat(F.lit("T"), F.trim(F.nullif(F.regexp_extract(tidy, "T(.*)$", 1), F.lit("")))), F.when(F.contains(tidy, F.lit("T")), F.lit("T")), F.lit(""))
+        clock = F.coalesce(F.concat(F.lit("T"), strip(F.nullif(F.regexp_extract(tidy, "T(.*)$", 1), F.lit("")))), F.when(F.contains(tidy, F.lit("T")), F.lit("T")), F.lit(""))
         return let(F.struct(day.alias("day"), clock.alias("clock")), iso)
 
     def change(both: Column) -> Column:
         touched = both["new"].rlike("[/ ]") | (both["new"] != both["old"])
-        return F.coalesce(F.when(touched, let(F.regexp_replace(F.trim(both["new"]), r"(?U)\s+", " "), split)), both["old"])
+        return F.coalesce(F.when(touched, let(F.regexp_replace(strip(both["new"]), r"(?U)\s+", " "), split)), both["old"])
 
     return let(F.struct(col.alias("old"), arabic_digits(col).alias("new")), change)
 
@@ -114,21 +119,21 @@ def date(col: Column) -> Column:
 def number(col: Column) -> Column:
     """The number in a text with foreign digits, separators, currency names or number words, as double; null if it holds none."""
     text = F.translate(arabic_digits(col), "٫", ".")
-    return let(F.trim(without_currency(thousands(text))), lambda t: F.coalesce(number_word(t).cast("double"), F.when(t.rlike(NUMBER_PATTERN), t.try_cast("double"))))
+    return let(strip(without_currency(thousands(text))), lambda t: F.coalesce(number_word(t).cast("double"), F.when(t.rlike(NUMBER_PATTERN), t.try_cast("double"))))
 
 
 def status(col: Column) -> Column:
-    """The canonical status of a synonym, other texts trimmed."""
-    return let(F.trim(col), lambda t: F.coalesce(lookup(t, STATUS_SYNONYMS), t))
+    """The canonical status of a synonym, other texts stripped."""
+    return let(strip(col), lambda t: F.coalesce(lookup(t, STATUS_SYNONYMS), t))
 
 
 def is_iso(col: Column) -> Column:
     """Whether a text is an ISO date or timestamp that exists."""
-    text = F.regexp_replace(F.trim(col), "[Zz]$", "+00:00")
+    text = F.regexp_replace(strip(col), "[Zz]$", "+00:00")
     return let(text, lambda t: F.coalesce(t.rlike(ISO_PATTERN) & t.try_cast("timestamp").isNotNull(), F.lit(False)))
 
 
 def content_key(id_order: Column, columns: Sequence[str]) -> Column:
     """The trimmed identifier, or HASH_ and the SHA-256 of the row's content with sorted keys and all values as text."""
     content = F.to_json(F.struct(*[F.coalesce(F.col(c).cast("string"), F.lit("None")).alias(c) for c in sorted(columns)]))
-    return F.coalesce(F.nullif(F.trim(id_order), F.lit("")), F.concat(F.lit("HASH_"), F.sha2(content, 256)))
+    return F.coalesce(F.nullif(strip(id_order), F.lit("")), F.concat(F.lit("HASH_"), F.sha2(content, 256)))

@@ -98,7 +98,7 @@ def clean(df: DataFrame, raw: str = "record_raw", now: str | None = None) -> Dat
     rows = rows.select(
         "*",
         is_record.alias("is_record"),
-        F.coalesce(F.nullif(F.trim(_at("id_order")), F.lit("")), F.nullif(F.trim(_at("order_id")), F.lit(""))).alias("_id"),
+        F.coalesce(F.nullif(C.strip(_at("id_order")), F.lit("")), F.nullif(C.strip(_at("order_id")), F.lit(""))).alias("_id"),
         _at("status").alias("_status"),
         (_kind("status") == "STRING").alias("_status_text"),
         _at("order_date").alias("_date"),
@@ -133,6 +133,7 @@ def clean(df: DataFrame, raw: str = "record_raw", now: str | None = None) -> Dat
     rows = rows.drop("v", "_items")
     rows = rows.withColumns(
         {
+            "_lines": F.when(F.spark_partition_id() >= 0, F.col("_lines")),
             "_new_status": F.when(F.col("_status_text"), C.status(F.col("_status"))).otherwise(F.col("_status")),
             "_new_date": C.date(F.col("_date")),
             "_new_phone": C.phone(F.col("_phone")),
@@ -228,7 +229,8 @@ def validate(rows: DataFrame, allowed: dict[str, tuple[str, ...]] | None = None)
     ]
     error = "array<struct<code string, detail string>>"
     errors = F.concat(_some(*checks).cast(error), F.coalesce(F.flatten(F.transform("_lines", line_errors)), F.array().cast(error)).cast(error), _some(*last).cast(error))
-    rows = rows.withColumn("errors", errors)
+    # always true, but not to the optimizer: a filter on the outcome must not drag all checks through every step below
+    rows = rows.withColumn("errors", F.when(F.spark_partition_id() >= 0, errors))
     several = (F.size("errors") > 1) & ~F.exists("errors", lambda x: x["code"] == "ERRORS_CONFLICTING_MULTIPLE")
     more = F.array(F.struct(F.lit("ERRORS_CONFLICTING_MULTIPLE").alias("code"), F.concat(F.size("errors").cast("string"), F.lit(" errors")).alias("detail")))
     return rows.withColumn("errors", F.when(several, F.concat("errors", more)).otherwise(F.col("errors")))
