@@ -103,7 +103,7 @@ def posterior_values(df: DataFrame, fields: Sequence[str] = FIELDS, key: str = "
     accuracy: dict[tuple[str, str], float] = {}
     depends: dict[tuple[str, str], float] = {}
     truth = None
-    for _ in range(rounds):
+    for turn in range(rounds):
         # a source's vote counts by its rank among those that claim the value: copiers behind the ones they may copy
         order = {s: i for i, s in enumerate(sorted(names, key=lambda s: (-accuracy.get((s, "*"), 0.8), s)))}
         votes = [(s, f, math.log(FALSE_VALUES * min(0.99, max(0.01, accuracy.get((s, f), 0.8))) / (1 - min(0.99, max(0.01, accuracy.get((s, f), 0.8)))))) for s in names for f in fields]
@@ -119,18 +119,21 @@ def posterior_values(df: DataFrame, fields: Sequence[str] = FIELDS, key: str = "
             loss = F.aggregate("with", F.lit(0.0), lambda total, s: total + F.coalesce(F.element_at("keeps", s), F.lit(0.0)))
             voted = voted.withColumn("vote", F.col("vote") * F.exp(F.when(F.col("keeps").isNotNull(), loss).otherwise(0.0)))
         scores = voted.groupBy("key", "field", "value").agg(F.sum("vote").alias("score"), F.count("*").alias("support"))
-        best = scores.groupBy("key", "field").agg(F.max(F.struct("score", "value")).alias("top"), F.min(F.struct(-F.col("score"), "value", "support")).alias("first"), F.count("*").alias("n"), F.max("score").alias("high"))
+        best = scores.groupBy("key", "field").agg(F.min(F.struct(-F.col("score"), "value", "support")).alias("first"), F.max("score").alias("high"))
         share = scores.join(best.select("key", "field", "high"), ["key", "field"]).groupBy("key", "field").agg(F.sum(F.exp(F.col("score") - F.col("high"))).alias("mass"))
         truth = cut(best.join(share, ["key", "field"]).select("key", "field", F.col("first.value").alias("value"), F.col("first.support").alias("support"), (1 / F.col("mass")).alias("posterior")))
         judged = claims.join(truth.withColumnRenamed("value", "true"), ["key", "field"]).withColumn("right", (F.col("value") == F.col("true")).cast("int"))
-        accuracy = {}
-        for r in judged.groupBy("source", "field").agg(F.sum("right").alias("right"), F.count("*").alias("n")).collect():  # sources times fields
-            accuracy[r["source"], r["field"]] = (r["right"] + 4) / (r["n"] + 5)
-        for s in names:
-            own = [accuracy[s, f] for f in fields if (s, f) in accuracy]
-            accuracy[s, "*"] = sum(own) / len(own) if own else 0.8
+        # first only who depends on whom, with equal accuracies: copied mistakes must not make their sources look right
+        if turn:
+            accuracy = {}
+            for r in judged.groupBy("source", "field").agg(F.sum("right").alias("right"), F.count("*").alias("n")).collect():  # sources times fields
+                accuracy[r["source"], r["field"]] = (r["right"] + 4) / (r["n"] + 5)
+            for s in names:
+                own = [accuracy[s, f] for f in fields if (s, f) in accuracy]
+                accuracy[s, "*"] = sum(own) / len(own) if own else 0.8
         groups = judged.groupBy("key", "field").agg(F.collect_list(F.struct("source", "value", "right")).alias("c"))
         pair = groups.select(F.explode("c").alias("x"), "c").select("x", F.explode("c").alias("y")).where("x.source < y.source")
         alike = F.col("x.value") == F.col("y.value")
-        depends = _copying(pair.groupBy(F.col("x.source").alias("a"), F.col("y.source").alias("b")).agg(F.sum((alike & (F.col("x.right") == 1)).cast("int")).alias("right"), F.sum((alike & (F.col("x.right") == 0)).cast("int")).alias("wrong"), F.sum((~alike).cast("int")).alias("unlike")).collect(), accuracy)
+        true = (F.col("x.right") == 1) | F.lit(turn == 0)  # what the majority says is no truth yet: at first only agreeing always tells
+        depends = _copying(pair.groupBy(F.col("x.source").alias("a"), F.col("y.source").alias("b")).agg(F.sum((alike & true).cast("int")).alias("right"), F.sum((alike & ~true).cast("int")).alias("wrong"), F.sum((~alike).cast("int")).alias("unlike")).collect(), accuracy)
     return truth.select(F.col("key").alias(key), "field", "value", "posterior", "support")
