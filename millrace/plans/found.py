@@ -9,7 +9,7 @@ from millrace.operators.nested import nodes
 from millrace.operators.redelivery import redelivered
 from millrace.operators.rejects import load_records, rejected
 from millrace.operators.timestamps import utc_instants
-from millrace.operators.units import in_hundredths
+from millrace.operators.units import identity_scales, in_hundredths
 from millrace.session import table
 
 
@@ -59,7 +59,12 @@ def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _amounts(spark, sf_dir).where("yer_hundredths is not null").select("src", "row_id", "yer_hundredths")
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p4_found, p5_found, p5_loaded, p6_found, p6_tables, p7_found)}
+def p7_scales(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The scale of each order's amount by the identity amount = lines + delivery, with its residual and whether it is the only one."""
+    return identity_scales(table(spark, sf_dir, "spark_loader"))
+
+
+QUERIES = {f.__name__: f for f in (p1_found, p4_found, p5_found, p5_loaded, p6_found, p6_tables, p7_found, p7_scales)}
 
 _EDGE = r"[\p{Z}\p{Cc}\p{Cf}]+"
 SQL = {

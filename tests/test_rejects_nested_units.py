@@ -11,7 +11,7 @@ from hypothesis import strategies as st
 from millrace.functions.amounts import read_amount
 from millrace.operators.nested import array_keys, nodes, read_table, visit, write_tables
 from millrace.operators.rejects import Index, is_json_array, load_records, record_reasons, rejected
-from millrace.operators.units import hundredths, in_hundredths, resolve, unit_table
+from millrace.operators.units import hundredths, identity_scales, in_hundredths, resolve, unit_table
 
 CURRENCIES = [
     dict(currency_code=c, name_en=e, name_ar=a, minor_name=m, minor_per_unit=100, yer_per_unit=y)
@@ -160,3 +160,11 @@ def test_identities_choose_units():
     # 12 kg of something of 0.8 kg/l in 15 l, the mass in g or kg
     assert resolve([(0.8, [1.0]), (15.0, [1.0]), (1 / 12000, [1.0, 1000.0])], 1.0) == ((0, 0, 1), True)
     assert resolve([(2.0, [1.0, 1.0])], 2.0)[1] is False
+
+
+def test_scales_by_identity(spark):
+    lines = '[{"qty": 2, "unit_price": 500}, {"total": "1,500"}]'
+    rows = [(1, "2500", lines, None), (2, "250000", lines, ""), (3, "2.6", lines, "100"), (4, "3000", lines, None), (5, None, lines, None), (6, "5", "[]", None), (7, "5", "bad", None), (8, "5", '[{"sku": "x"}]', None), (9, "5", lines, "free")]
+    df = spark.createDataFrame(rows, "loader_id long, total_amount string, items string, delivery_cost string")
+    assert {r.loader_id: (r.factor, r.is_unique) for r in identity_scales(df).collect()} == {1: (1.0, True), 2: (0.01, True), 3: (1000.0, True), 4: (1.0, False)}
+    assert identity_scales(df.limit(0)).count() == 0
