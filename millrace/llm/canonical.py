@@ -225,7 +225,9 @@ def canonical(df: DataFrame, row_id: str, value: str, matcher: Matcher, writings
             values = batch.column("value")
             yield pa.RecordBatch.from_arrays([values, pa.array([matcher.match(v) for v in values.to_pylist()], pa.int64())], names=["value", "ref_id"])
 
-    names = rows.select("value").distinct().mapInArrow(run, "value string, ref_id long")
+    # by a fixed number: matching is dear and its input small, which adaptive execution would put into a few tasks
+    spread = max(df.sparkSession.sparkContext.defaultParallelism, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    names = rows.select("value").distinct().repartition(spread).mapInArrow(run, "value string, ref_id long")
     names = names.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))))
     found = rows.withColumn("salt", F.pmod("row", F.lit(SALT)).cast("int")).join(names, ["value", "salt"])
     return found.select(F.col("row").alias(row_id), "ref_id")
