@@ -9,8 +9,10 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator, Sequence
+from typing import NamedTuple
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType
@@ -27,7 +29,7 @@ STAND_INS = (
     "غير معروف", "غير محدد", "غير متوفر", "غير متاح", "لا يوجد", "لايوجد", "مجهول", "بدون",
 )
 #: Fusion: rounds, false values that a field may take, prior chance that two sources copy, chance that a copier copies a value.
-ROUNDS, FALSE_VALUES, COPY_PRIOR, COPY_RATE = 3, 20, 0.1, 0.8
+ROUNDS, FALSE_VALUES, COPY_PRIOR, COPY_RATE = 4, 20, 0.1, 0.8
 #: Sources that can be compared pair by pair.
 SOURCES = 200
 
@@ -69,19 +71,56 @@ def survivors(df: DataFrame, trust: DataFrame, fields: Sequence[str] = FIELDS, k
     return found.select(F.col("key").alias(key), F.inline(pairs)).where("minus is not null").select(key, "field", (-F.col("minus")).alias(record_id))
 
 
-def _copying(pairs: list, accuracy: dict[tuple[str, str], float]) -> dict[tuple[str, str], float]:
+class _Beliefs(NamedTuple):
+    """What a round knows: votes by source and field, the order of the sources, what a source's vote keeps beside one it may copy."""
+
+    votes: dict[tuple[str, str], float]
+    order: dict[str, int]
+    keep: dict[tuple[str, str], float]
+
+    def judge(self, field: str, claims: list[tuple[str, str]]) -> tuple[str, float, int]:
+        """(value, posterior, support) of the best value that (source, value) claims name, among equals the smallest."""
+        by: dict[str, list[str]] = {}
+        for source, value in claims:
+            by.setdefault(value, []).append(source)
+        scores = {}
+        for value, sources in by.items():
+            sources.sort(key=self.order.__getitem__)
+            scores[value] = 0.0
+            for i, source in enumerate(sources):
+                vote = self.votes[source, field]
+                for other in sources[:i]:
+                    vote *= self.keep.get((source, other), 1.0)
+                scores[value] += vote
+        best = min(scores, key=lambda v: (-scores[v], v))
+        return best, 1 / sum(math.exp(x - scores[best]) for x in scores.values()), len(by[best])
+
+
+def _beliefs(names: Sequence[str], fields: Sequence[str], accuracy: dict[tuple[str, str], float], depends: dict[tuple[str, str], float]) -> _Beliefs:
+    def mean(s: str) -> float:
+        own = [accuracy[s, f] for f in fields if (s, f) in accuracy]
+        return sum(own) / len(own) if own else 0.8
+
+    order = {s: i for i, s in enumerate(sorted(names, key=lambda s: (-mean(s), s)))}
+    votes = {}
+    for s in names:
+        for f in fields:
+            p = min(0.99, max(0.01, accuracy.get((s, f), 0.8)))
+            votes[s, f] = math.log(FALSE_VALUES * p / (1 - p))
+    return _Beliefs(votes, order, {pair: max(1e-3, 1 - COPY_RATE * p) for pair, p in depends.items()})
+
+
+def _copying(pairs: dict[tuple[str, str], list[int]], accuracy: dict[str, float]) -> dict[tuple[str, str], float]:
     """The chance that two sources depend on each other, from the numbers of claims where both are right, both wrong alike, and different."""
     out = {}
-    for r in pairs:
-        e = max(0.01, 1 - (accuracy.get((r["a"], "*"), 0.8) + accuracy.get((r["b"], "*"), 0.8)) / 2)
+    for (a, b), (right, wrong, unlike) in pairs.items():
+        e = max(0.01, 1 - (accuracy.get(a, 0.8) + accuracy.get(b, 0.8)) / 2)
         alone = ((1 - e) ** 2, e * e / FALSE_VALUES, max(1e-9, 1 - (1 - e) ** 2 - e * e / FALSE_VALUES))
         tied = tuple(COPY_RATE * p + (1 - COPY_RATE) * q for p, q in zip((1 - e, e, 1e-9), alone))
-        # logs, and few hundred claims are as good as millions
-        n = max(1, r["right"] + r["wrong"] + r["unlike"])
-        scale = min(1.0, 300 / n)
-        logs = sum(k * scale * math.log(t / a) for k, t, a in zip((r["right"], r["wrong"], r["unlike"]), tied, alone))
+        scale = min(1.0, 300 / max(1, right + wrong + unlike))  # a few hundred claims are as good as millions
+        logs = sum(k * scale * math.log(t / q) for k, t, q in zip((right, wrong, unlike), tied, alone))
         odds = math.log(COPY_PRIOR / (1 - COPY_PRIOR)) + max(-50, min(50, logs))
-        out[r["a"], r["b"]] = out[r["b"], r["a"]] = 1 / (1 + math.exp(-odds))
+        out[a, b] = out[b, a] = 1 / (1 + math.exp(-odds))
     return out
 
 
@@ -90,7 +129,7 @@ def posterior_values(df: DataFrame, fields: Sequence[str] = FIELDS, key: str = "
 
     A source has one claim for a field of an identifier: its latest given value (then the smallest record id). Records without a source
     have a source of their own. Support is the number of sources that claim the value. Blank identifiers are left out; an empty
-    table gives an empty result.
+    table gives an empty result. Claims are shuffled once; a round is one pass that only sends sums of sources and pairs of sources.
     """
     rows = _records(df, fields, key, record_id, source, updated).withColumn("source", F.coalesce("source", F.lit("")))
     sources = rows.select("source").distinct()
@@ -99,41 +138,43 @@ def posterior_values(df: DataFrame, fields: Sequence[str] = FIELDS, key: str = "
     names = sorted(r["source"] for r in sources.collect())
     latest = [F.max(F.when(F.col(f"f{i}").isNotNull(), F.struct(F.coalesce("us", F.lit(-(2**63))), -F.col("record"), f"f{i}"))).alias(f"b{i}") for i in range(len(fields))]
     folded = rows.groupBy("key", "source").agg(*latest)
-    claims = cut(folded.select("key", "source", F.inline(F.array(*[F.struct(F.lit(f).alias("field"), F.col(f"b{i}.f{i}").alias("value")) for i, f in enumerate(fields)]))).where("value is not null"))
+    claims = folded.select("key", "source", F.inline(F.array(*[F.struct(F.lit(f).alias("field"), F.col(f"b{i}.f{i}").alias("value")) for i, f in enumerate(fields)]))).where("value is not null")
+    # at most one claim of each source, hence at most SOURCES elements
+    groups = cut(claims.groupBy("key", "field").agg(F.collect_list("source").alias("sources"), F.collect_list("value").alias("values")))
+    contested = groups.where(F.size("sources") > 1)
     accuracy: dict[tuple[str, str], float] = {}
     depends: dict[tuple[str, str], float] = {}
-    truth = None
-    for turn in range(rounds):
-        # a source's vote counts by its rank among those that claim the value: copiers behind the ones they may copy
-        order = {s: i for i, s in enumerate(sorted(names, key=lambda s: (-accuracy.get((s, "*"), 0.8), s)))}
-        votes = [(s, f, math.log(FALSE_VALUES * min(0.99, max(0.01, accuracy.get((s, f), 0.8))) / (1 - min(0.99, max(0.01, accuracy.get((s, f), 0.8)))))) for s in names for f in fields]
-        table = df.sparkSession.createDataFrame(votes, "source string, field string, vote double")
-        ties = [(a, b, math.log(max(1e-3, 1 - COPY_RATE * p))) for (a, b), p in depends.items() if order[a] > order[b]]
-        voted = claims.join(F.broadcast(table), ["source", "field"])
-        if ties:
-            # at most one claim a source in a group of equal claims, hence at most SOURCES elements
-            same = claims.groupBy("key", "field", "value").agg(F.collect_set("source").alias("with"))
-            tie = df.sparkSession.createDataFrame(ties, "source string, other string, keep double")
-            per_source = F.broadcast(tie.groupBy("source").agg(F.map_from_entries(F.collect_list(F.struct("other", "keep"))).alias("keeps")))
-            voted = voted.join(same, ["key", "field", "value"]).join(per_source, "source", "left")
-            loss = F.aggregate("with", F.lit(0.0), lambda total, s: total + F.coalesce(F.element_at("keeps", s), F.lit(0.0)))
-            voted = voted.withColumn("vote", F.col("vote") * F.exp(F.when(F.col("keeps").isNotNull(), loss).otherwise(0.0)))
-        scores = voted.groupBy("key", "field", "value").agg(F.sum("vote").alias("score"), F.count("*").alias("support"))
-        best = scores.groupBy("key", "field").agg(F.min(F.struct(-F.col("score"), "value", "support")).alias("first"), F.max("score").alias("high"))
-        share = scores.join(best.select("key", "field", "high"), ["key", "field"]).groupBy("key", "field").agg(F.sum(F.exp(F.col("score") - F.col("high"))).alias("mass"))
-        truth = cut(best.join(share, ["key", "field"]).select("key", "field", F.col("first.value").alias("value"), F.col("first.support").alias("support"), (1 / F.col("mass")).alias("posterior")))
-        judged = claims.join(truth.withColumnRenamed("value", "true"), ["key", "field"]).withColumn("right", (F.col("value") == F.col("true")).cast("int"))
+    for turn in range(rounds - 1):
+        told = _beliefs(names, fields, accuracy, depends)
+
+        def tally(batches: Iterator[pa.RecordBatch], told=told, turn=turn) -> Iterator[pa.RecordBatch]:
+            sums: dict[tuple[str, str, str], list[int]] = {}
+            for batch in batches:
+                for field, who, what in zip(*(batch.column(c).to_pylist() for c in ("field", "sources", "values"))):
+                    true = told.judge(field, list(zip(who, what)))[0]
+                    for i, (s, v) in enumerate(zip(who, what)):
+                        one = sums.setdefault((s, field, ""), [0, 0, 0])
+                        one[0] += v == true
+                        one[1] += 1
+                        for t, w in zip(who[:i], what[:i]):
+                            two = sums.setdefault((min(s, t), "", max(s, t)), [0, 0, 0])
+                            # what the majority says is no truth yet: at first only agreeing always tells
+                            two[2 if v != w else 0 if turn == 0 or v == true else 1] += 1
+            out = [(*k, *n, k[1] == "") for k, n in sums.items()]
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], t) for i, t in enumerate((pa.string(), pa.string(), pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.bool_()))], names=list("sfoabcp"))
+
+        found = contested.select("field", "sources", "values").mapInArrow(tally, "s string, f string, o string, a long, b long, c long, p boolean")
+        sums = found.groupBy("s", "f", "o", "p").agg(F.sum("a").alias("a"), F.sum("b").alias("b"), F.sum("c").alias("c")).collect()  # sources times fields and pairs of sources
         # first only who depends on whom, with equal accuracies: copied mistakes must not make their sources look right
         if turn:
-            accuracy = {}
-            for r in judged.groupBy("source", "field").agg(F.sum("right").alias("right"), F.count("*").alias("n")).collect():  # sources times fields
-                accuracy[r["source"], r["field"]] = (r["right"] + 4) / (r["n"] + 5)
-            for s in names:
-                own = [accuracy[s, f] for f in fields if (s, f) in accuracy]
-                accuracy[s, "*"] = sum(own) / len(own) if own else 0.8
-        groups = judged.groupBy("key", "field").agg(F.collect_list(F.struct("source", "value", "right")).alias("c"))
-        pair = groups.select(F.explode("c").alias("x"), "c").select("x", F.explode("c").alias("y")).where("x.source < y.source")
-        alike = F.col("x.value") == F.col("y.value")
-        true = (F.col("x.right") == 1) | F.lit(turn == 0)  # what the majority says is no truth yet: at first only agreeing always tells
-        depends = _copying(pair.groupBy(F.col("x.source").alias("a"), F.col("y.source").alias("b")).agg(F.sum((alike & true).cast("int")).alias("right"), F.sum((alike & ~true).cast("int")).alias("wrong"), F.sum((~alike).cast("int")).alias("unlike")).collect(), accuracy)
-    return truth.select(F.col("key").alias(key), "field", "value", "posterior", "support")
+            accuracy = {(r["s"], r["f"]): (r["a"] + 4) / (r["b"] + 5) for r in sums if not r["p"]}
+        means = {s: [accuracy[s, f] for f in fields if (s, f) in accuracy] for s in names}
+        depends = _copying({(r["s"], r["o"]): [r["a"], r["b"], r["c"]] for r in sums if r["p"]}, {s: sum(m) / len(m) for s, m in means.items() if m})
+    told = _beliefs(names, fields, accuracy, depends)
+
+    def choose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = [told.judge(f, list(zip(who, what))) for f, who, what in zip(*(batch.column(c).to_pylist() for c in ("field", "sources", "values")))]
+            yield pa.RecordBatch.from_arrays([batch.column("key"), batch.column("field"), pa.array([r[0] for r in out], pa.string()), pa.array([r[1] for r in out], pa.float64()), pa.array([r[2] for r in out], pa.int64())], names=["key", "field", "value", "posterior", "support"])
+
+    return groups.mapInArrow(choose, "key string, field string, value string, posterior double, support long").withColumnRenamed("key", key)

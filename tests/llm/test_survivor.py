@@ -64,7 +64,7 @@ def test_copies_are_outvoted(spark):
                 name = f"false{k}" if wrong else truth[f"O{k}"]
             rows.append(row(n, source, f"O{k}", name, "2025-01-01"))
     df, _ = frames(spark, rows)
-    out = {r.id_order: r for r in posterior_values(df, ("customer.name",), rounds=4).collect()}
+    out = {r.id_order: r for r in posterior_values(df, ("customer.name",), rounds=5).collect()}
     right = sum(out[k].value == v for k, v in truth.items()) / len(truth)
     assert right > 0.85
     assert posterior_values(df.limit(0)).count() == 0
