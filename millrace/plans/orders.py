@@ -10,7 +10,7 @@ from millrace.functions.schema import LAYOUTS
 from millrace.operators import incremental as I
 from millrace.operators import lookups, quality, reports, views
 from millrace.operators.upsert import keep_last, upsert
-from millrace.session import table
+from millrace.session import spread, table
 from millrace.sources.files import raw_layer
 from millrace.streaming.loader import windowed
 
@@ -299,23 +299,23 @@ def validation_flags(spark: SparkSession, sf: str) -> DataFrame:
 @query()
 def classify_records(spark: SparkSession, sf: str) -> DataFrame:
     """Outcome, error codes and number of corrections of every raw row."""
-    found = quality.classify(_raw(spark, sf))
+    found = quality.classify(spread(_raw(spark, sf)))
     return found.select("number_row_source", "outcome", F.array_join("codes_error", ",").alias("codes"), F.size("corrections").alias("corrections"))
 
 
 @query()
 def classify_outcomes(spark: SparkSession, sf: str) -> DataFrame:
-    return quality.outcome_counts(quality.classify(_raw(spark, sf)))
+    return quality.outcome_counts(quality.classify(spread(_raw(spark, sf))))
 
 
 @query()
 def quarantine_summary(spark: SparkSession, sf: str) -> DataFrame:
-    return reports.quarantine_summary(quality.classify(_raw(spark, sf)).where("outcome = 'QUARANTINED'"))
+    return reports.quarantine_summary(quality.classify(spread(_raw(spark, sf))).where("outcome = 'QUARANTINED'"))
 
 
 @query("select count(*) as read_rows, true as consistent from spark_loader")
 def consistency_equation(spark: SparkSession, sf: str) -> DataFrame:
-    raw = _raw(spark, sf)
+    raw = spread(_raw(spark, sf))
     return quality.consistent(raw, quality.classify(raw)).select("read_rows", "consistent")
 
 

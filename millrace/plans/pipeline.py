@@ -14,7 +14,7 @@ from millrace.functions.schema import ORDER
 from millrace.operators import reports, views
 from millrace.operators.quality import classify
 from millrace.operators.upsert import upsert
-from millrace.session import cut
+from millrace.session import cut, spread
 from millrace.sources import checkpoints as CP
 from millrace.sources.files import read_file, route
 from millrace.sources.store import Warehouse
@@ -64,7 +64,7 @@ def ingest(spark: SparkSession, store: Warehouse, path: str, threshold_mb: float
 
 
 def _ingest(spark: SparkSession, store: Warehouse, found, now: str, allowed: dict | None, began: float) -> dict:
-    raw = cut(read_file(spark, found, now))
+    raw = cut(spread(read_file(spark, found, now)))
     held = store.read("orders_raw") if store.has("orders_raw") else None
     # the raw layer is committed before it is cleaned
     store.commit({"orders_raw": raw if held is None else held.where(F.col("id_run") != found.id_run).unionByName(raw)}, partition={"orders_raw": ("id_run",)})

@@ -76,6 +76,10 @@ def micros_of(df: DataFrame, name: str) -> Column:
     return micros(F.col(name), dict(df.dtypes)[name])
 
 
-def spread(df: DataFrame, *cols: str) -> DataFrame:
-    """Even out few input files over the cores without moving data where there are tasks enough."""
-    return df.repartition(*cols) if cols else df
+def spread(df: DataFrame) -> DataFrame:
+    """df over at least all cores, for steps that cost far more than a shuffle of a small input.
+
+    Few or large row groups leave cores idle. An input with partitions enough, as any large one has, is left as it is.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(2 * cores) if df._jdf.queryExecution().toRdd().getNumPartitions() < 2 * cores else df
