@@ -146,6 +146,7 @@ def stuffed(f: dict[str, np.ndarray]) -> np.ndarray:
     flat = f["sentences"] * 30 < words
     salad = (words >= 15) & flat & ((coherence < 0.40) | ((coherence < 0.44) & (distinct < 0.6)))
     keywords = (words >= 20) & flat & (distinct < 0.5) & ((coherence < 0.47) | (repeated > 0.25))
+    keywords |= (words >= 40) & flat & (distinct < 0.3)
     strung = (words >= 50) & (coherence < 0.43) & (distinct < 0.3) & (repeated > 0.2)
     mixed = (words >= 50) & (f["sentences"] * 15 < words) & (coherence < 0.36)
     return link_list | tag_list | salad | keywords | strung | mixed
