@@ -75,28 +75,49 @@ def _keys_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield pa.RecordBatch.from_arrays([pa.array(sorted(keys), pa.string())], names=["key"])
 
 
-def nodes(df: DataFrame, row_id: str = "loader_id", text: str = "items", payload: bool = True) -> DataFrame:
+def _object_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The keys of each row under which an object stands."""
+    for batch in batches:
+        ids, names = [], []
+        for row, text in zip(batch.column("row").to_pylist(), batch.column("text").to_pylist()):
+            stack: list = [] if is_blank(text) else [parse_array(text) or []]
+            keys = set()
+            while stack:
+                x = stack.pop()
+                if isinstance(x, dict):
+                    keys.update(k for k, v in x.items() if isinstance(v, dict))
+                stack.extend(v for v in (x.values() if isinstance(x, dict) else x) if isinstance(v, (dict, list)))
+            ids += [row] * len(keys)
+            names += keys
+        yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(names, pa.string())], names=["row", "key"])
+
+
+def nodes(df: DataFrame, row_id: str = "loader_id", text: str = "items", payload: bool = True, most_keys: int = SMALL_ROWS) -> DataFrame:
     """(row_id, tag, parent_path, node_path, payload) of each object that is an element of an array at any depth.
 
     Null and blank texts and those that are no JSON array give nothing; elements that are no objects are counted but not emitted;
     an array nested in an array adds its position to the path. payload holds the object's plain members as JSON text, numbers as
-    written. An empty table gives an empty result; other columns are not looked at.
+    written. Up to most_keys keys that hold arrays are told to every task, more are joined to the rows. An empty table gives an empty result; other columns are not looked at.
     """
     rows = df.select(F.col(row_id).cast("long").alias("row"), F.col(text).cast("string").alias("text"))
-    names = rows.mapInArrow(_keys_of, "key string").distinct()
-    names = cut(names)
-    if not is_small(names):
-        raise ValueError(f"more than {SMALL_ROWS} different keys hold arrays: the keys are data; split such objects first")
-    keys = {r["key"] for r in names.collect()}
+    names = cut(rows.mapInArrow(_keys_of, "key string").distinct())
+    if is_small(names, most_keys):
+        shared = {r["key"] for r in names.collect()}
+        rows = rows.withColumn("keys", F.lit(None).cast("array<string>"))
+    else:
+        # keys that are data: each row gets those of its own that hold an array somewhere
+        shared = set()
+        own = rows.mapInArrow(_object_keys, "row long, key string").distinct().join(names, "key", "left_semi")
+        rows = rows.join(own.groupBy("row").agg(F.collect_list("key").alias("keys")), "row", "left").select("row", "text", "keys")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         columns = ["row", "tag", "parent_path", "node_path", *["payload"] * payload]
         for batch in batches:
             ids, tags, parents, paths, loads = [], [], [], [], []
-            for row, value in zip(batch.column("row").to_pylist(), batch.column("text").to_pylist()):
+            for row, value, keys in zip(*(batch.column(c).to_pylist() for c in ("row", "text", "keys"))):
                 if is_blank(value) or (found := parse_array(value, payload)) is None:
                     continue
-                for tag, path, parent, node in visit(found, text, keys):
+                for tag, path, parent, node in visit(found, text, shared if keys is None else set(keys)):
                     ids.append(row)
                     tags.append(tag)
                     parents.append(parent)

@@ -124,6 +124,8 @@ def test_nodes_and_tables(spark, tmp_path):
     write_tables(out, str(tmp_path / "t"))
     assert [r.b for r in read_table(spark, str(tmp_path / "t"), "items.a", "b int").orderBy("node_path").collect()] == [1, None, 3]
     assert nodes(df.limit(0)).count() == 0
+    joined = nodes(df, most_keys=0)
+    assert sorted(map(tuple, joined.collect())) == sorted(map(tuple, out.collect()))
 
 
 @pytest.mark.parametrize("text, value, unit", [("3835.50", "3835.5", ""), ("٢٬٤٨٦٫٢٥", "2486.25", ""), ("2.141,25", "2141.25", ""), ("43,081.00", "43081", ""), ("2,632", "2632", ""), ("1 263.25", "1263.25", ""), ("+1425", "1425", ""), (" 5139\t", "5139", ""), ("عشرة آلاف ريال", "10000", "ريال"), ("one hundred dollars", "100", "dollars"), ("مئة ألف ريال يمني", "100000", "رياليمني"), ("ألفين ريال", "2000", "ريال"), ("two hundred and five dirhams", "205", "dirhams")])
