@@ -140,3 +140,18 @@ def profile(spark: SparkSession, path: str, rows: int = 5) -> dict:
     df = read_csv(spark, path) if found.suffix == ".csv" else spark.read.text(path)
     exact = os.path.getsize(path) <= SMALL_MB * 2**20
     return {"columns": df.columns, "preview": [r.asDict() for r in df.limit(rows).collect()], "rows": df.count() if exact else os.path.getsize(path) // 220, "exact": exact}
+
+
+def write_sample(spark: SparkSession, path: str, rows: int, out: str) -> None:
+    """The first rows of a file, with its header, as a folder of the same format."""
+    found = route(path)
+    if found.suffix == ".csv":
+        read_csv(spark, path).limit(rows).coalesce(1).write.mode("overwrite").option("header", True).option("escape", '"').csv(out)
+    else:
+        spark.read.text(path).limit(rows).coalesce(1).write.mode("overwrite").text(out)
+
+
+def export_csv(df: DataFrame, out: str) -> None:
+    """Any table as CSV; arrays and structs as JSON text."""
+    flat = [F.to_json(c).alias(c) if kind.startswith(("array", "struct", "map")) else F.col(c) for c, kind in df.dtypes]
+    df.select(*flat).write.mode("overwrite").option("header", True).option("escape", '"').csv(out)
