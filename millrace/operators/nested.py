@@ -101,12 +101,10 @@ def nodes(df: DataFrame, row_id: str = "loader_id", text: str = "items", payload
     """
     rows = df.select(F.col(row_id).cast("long").alias("row"), F.col(text).cast("string").alias("text"))
     names = cut(rows.mapInArrow(_keys_of, "key string").distinct())
-    if is_small(names, most_keys):
-        shared = {r["key"] for r in names.collect()}
-        rows = rows.withColumn("keys", F.lit(None).cast("array<string>"))
-    else:
+    told = is_small(names, most_keys)
+    shared = {r["key"] for r in names.collect()} if told else set()
+    if not told:
         # keys that are data: each row gets those of its own that hold an array somewhere
-        shared = set()
         own = rows.mapInArrow(_object_keys, "row long, key string").distinct().join(names, "key", "left_semi")
         rows = rows.join(own.groupBy("row").agg(F.collect_list("key").alias("keys")), "row", "left").select("row", "text", "keys")
 
@@ -114,10 +112,11 @@ def nodes(df: DataFrame, row_id: str = "loader_id", text: str = "items", payload
         columns = ["row", "tag", "parent_path", "node_path", *["payload"] * payload]
         for batch in batches:
             ids, tags, parents, paths, loads = [], [], [], [], []
-            for row, value, keys in zip(*(batch.column(c).to_pylist() for c in ("row", "text", "keys"))):
+            own_keys = [shared] * batch.num_rows if told else [set(k or ()) for k in batch.column("keys").to_pylist()]
+            for row, value, keys in zip(batch.column("row").to_pylist(), batch.column("text").to_pylist(), own_keys):
                 if is_blank(value) or (found := parse_array(value, payload)) is None:
                     continue
-                for tag, path, parent, node in visit(found, text, shared if keys is None else set(keys)):
+                for tag, path, parent, node in visit(found, text, keys):
                     ids.append(row)
                     tags.append(tag)
                     parents.append(parent)
