@@ -3,7 +3,7 @@
 Neighbouring words of sentences attract each other; those of a word salad do not. Two passes: the first counts all words and all
 neighbouring pairs of the corpus, the second gives each document the mean pointwise mutual information of its pairs (normalised, and
 without the document's own share of the counts, so that a page cannot vouch for itself), the share of repeated collocations, of
-links and tags, and of distinct words, and flags it by these.
+links and tags, and of distinct words, and flags it by these. Counts of rare words and pairs are joined to the documents that have them.
 """
 
 from __future__ import annotations
@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from millrace.session import cut
 
-#: Pairs and words rarer than this share of all pairs are not kept one by one, which bounds each table by 1 / RARE entries.
+#: Pairs and words rarer than this share of all pairs are not broadcast but joined, which bounds each broadcast table by 1 / RARE entries.
 RARE = 2.0**-21
 
 _TOKEN = regex.compile(r"https?://\S+|www\.\S+|<a\s[^>]*>|[(\[]dot[)\]]|#[\p{L}\p{M}\p{N}_-]+|\p{L}[\p{L}\p{M}'’-]*(?:\.[\p{L}\p{N}][\p{L}\p{N}./-]*)?")
@@ -84,7 +84,7 @@ def split(flat: np.ndarray, ends: np.ndarray) -> Words:
 
 
 class Counts(NamedTuple):
-    """Sorted keys and their counts; total and the count that stands for a key that is not kept."""
+    """Sorted keys and their counts, and the number of all pairs."""
 
     words: np.ndarray
     word_n: np.ndarray
@@ -92,45 +92,111 @@ class Counts(NamedTuple):
     pair_n: np.ndarray
     total: int
 
-    @property
-    def unseen(self) -> float:
-        return max(0.5, RARE * self.total / 2)
-
     def of(self, keys: np.ndarray, table: np.ndarray, counts: np.ndarray) -> np.ndarray:
+        """The count of each key, 0 if the table does not hold it."""
         if not len(table):
-            return np.full(len(keys), self.unseen)
+            return np.zeros(len(keys), np.int64)
         at = np.minimum(np.searchsorted(table, keys), len(table) - 1)
-        return np.where(table[at] == keys, counts[at], self.unseen)
+        return np.where(table[at] == keys, counts[at], 0)
+
+
+def _mixed(doc: np.ndarray, key: np.ndarray) -> np.ndarray:
+    """(document, key) as a 64-bit mix of both."""
+    return (key ^ (doc.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))) * np.uint64(0x9E3779B97F4A7C15)
 
 
 def _own(doc: np.ndarray, key: np.ndarray) -> np.ndarray:
-    """How often each key occurs in its own document; (document, key) is told apart by a 64-bit mix of both."""
-    mixed = (key ^ (doc.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))) * np.uint64(0x9E3779B97F4A7C15)
-    _, at, n = np.unique(mixed, return_inverse=True, return_counts=True)
+    """How often each key occurs in its own document."""
+    _, at, n = np.unique(_mixed(doc, key), return_inverse=True, return_counts=True)
     return n[at]
 
 
-def features(texts: list[str | None], cache: _Codes, counts: Counts) -> dict[str, np.ndarray]:
-    """Of each document: words, links, tags, coherence (mean normalised PMI), repeated (share of pairs that occur three times or more), distinct (share of distinct words), sentences."""
+def _npmi(pair_n: np.ndarray, left_n: np.ndarray, right_n: np.ndarray, total: int) -> np.ndarray:
+    """Normalised PMI by the counts outside the page; where there are none, a half stands for them."""
+    pair, left, right, total = np.maximum(pair_n, 0.5), np.maximum(left_n, 0.5), np.maximum(right_n, 0.5), max(total, 2)
+    return np.clip(np.log(pair * total / (left * right)) / np.maximum(-np.log(pair / total), 1e-9), -1, 1)
+
+
+class Open(NamedTuple):
+    """What the kept counts leave open: the pairs (each once a document) that have a count, their own or a word's, which is not kept.
+
+    A number of a term from 0 is a count outside the page; one below stands for the cold key at place -1 - number of its document.
+    """
+
+    terms: np.ndarray  # pair, left and right word, occurrences; a row for each
+    term_doc: np.ndarray
+    is_pair: np.ndarray  # of each cold key, in order of documents
+    key: np.ndarray
+    own: np.ndarray
+    key_doc: np.ndarray
+
+
+def _left_open(w: Words, at: np.ndarray, word_n: np.ndarray, pair_n: np.ndarray, own_word: np.ndarray, own_pair: np.ndarray) -> Open:
+    """at: the places of the pairs that are open."""
+    doc = w.doc[w.left]
+    at = at[np.unique(_mixed(doc[at], w.pair[at]), return_index=True)[1]]
+    at = at[np.argsort(doc[at], kind="stable")]
+    left = w.left[at]
+    sides = ((w.pair[at], pair_n[at], own_pair[at]), *((w.word[x], word_n[x], own_word[x]) for x in (left, left + 1)))
+    key, n, own = (np.concatenate(x) for x in zip(*sides))
+    is_pair, of = np.repeat([True, False, False], len(at)), np.tile(doc[at], 3)
+    terms = np.maximum(n - own, 0)
+    cold = np.flatnonzero(n == 0)
+    _, first, slot = np.unique(_mixed(of[cold], key[cold] ^ is_pair[cold].astype(np.uint64)), return_index=True, return_inverse=True)
+    order = np.argsort(of[cold[first]], kind="stable")
+    place = np.empty(len(order), np.int64)
+    place[order] = np.arange(len(order))
+    kept = cold[first[order]]
+    terms[cold] = np.searchsorted(of[kept], of[cold]) - place[slot] - 1
+    return Open(np.stack([*terms.reshape(3, -1), own_pair[at]], 1).astype(np.int64), doc[at], is_pair[kept], key[kept], own[kept], of[kept])
+
+
+def measured(texts: list[str | None], cache: _Codes, counts: Counts) -> tuple[dict[str, np.ndarray], Open | None]:
+    """The features of each document, with coherence as a sum over the pairs whose counts are all kept, and what is left open."""
     w = split(*codes(texts, cache))
     n = len(texts)
     own_word, own_pair = _own(w.doc, w.word), _own(w.doc[w.left], w.pair)
-    word_n = np.maximum(counts.of(w.word, counts.words, counts.word_n) - own_word, counts.unseen)
-    pair_n = np.maximum(counts.of(w.pair, counts.pairs, counts.pair_n) - own_pair, counts.unseen)
-    total = max(counts.total, 2)
-    pmi = np.log(pair_n * total / (word_n[w.left] * word_n[w.left + 1])) if len(w.left) else np.zeros(0)
-    npmi = np.clip(pmi / np.maximum(-np.log(pair_n / total), 1e-9), -1, 1)
+    word_n, pair_n = counts.of(w.word, counts.words, counts.word_n), counts.of(w.pair, counts.pairs, counts.pair_n)
+    closed = (pair_n > 0) & (word_n[w.left] > 0) & (word_n[w.left + 1] > 0) if len(w.left) else np.zeros(0, bool)
+    at, out = w.left[closed], word_n - own_word
+    npmi = _npmi(pair_n[closed] - own_pair[closed], out[at], out[at + 1], counts.total)
     doc = w.doc[w.left]
     words, pairs = np.bincount(w.doc, minlength=n), np.bincount(doc, minlength=n)
-    return {
+    found = {
         "words": words,
         "links": w.links,
         "tags": w.tags,
-        "coherence": np.bincount(doc, npmi, n) / np.maximum(pairs, 1),
+        "coherence": np.bincount(doc[closed], npmi, n),
         "repeated": np.bincount(doc, own_pair >= 3, n) / np.maximum(pairs, 1),
         "distinct": np.bincount(w.doc, 1 / own_word, n) / np.maximum(words, 1) if len(w.doc) else np.zeros(n),
         "sentences": np.array([0 if not t else sum(map(t.count, _ENDS)) + (t.rstrip()[-1:] in ".!?؟") for t in texts], np.int64),
+        "pairs": pairs,
     }
+    return found, None if closed.all() else _left_open(w, np.flatnonzero(~closed), word_n, pair_n, own_word, own_pair)
+
+
+def close(f: dict[str, np.ndarray], terms: np.ndarray, term_doc: np.ndarray, outside: np.ndarray, begins: np.ndarray, total: int) -> dict[str, np.ndarray]:
+    """The features with the open terms counted in. outside: counts outside the page of the cold keys; begins: where each document's begin."""
+    n = len(f["pairs"])
+    values = terms[:, :3].copy()
+    row, side = np.nonzero(values < 0)
+    values[row, side] = outside[begins[term_doc[row]] - 1 - values[row, side]]
+    more = np.bincount(term_doc, _npmi(values[:, 0], values[:, 1], values[:, 2], total) * terms[:, 3], n)
+    return {k: (v + more) / np.maximum(f["pairs"], 1) if k == "coherence" else v for k, v in f.items() if k != "pairs"}
+
+
+_NONE = np.zeros(0, np.int64)
+
+
+def features(texts: list[str | None], cache: _Codes, counts: Counts) -> dict[str, np.ndarray]:
+    """Of each document: words, links, tags, coherence (mean normalised PMI), repeated (share of pairs that occur three times or more), distinct (share of distinct words), sentences.
+
+    Keys that are not in counts do not occur outside the page.
+    """
+    f, rest = measured(texts, cache, counts)
+    if rest is None:
+        return close(f, np.zeros((0, 4), np.int64), _NONE, _NONE, _NONE, counts.total)
+    return close(f, rest.terms, rest.term_doc, np.zeros(len(rest.key), np.int64), np.searchsorted(rest.key_doc, np.arange(len(texts))), counts.total)
 
 
 def stuffed(f: dict[str, np.ndarray]) -> np.ndarray:
@@ -181,11 +247,14 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield out(is_pair)
 
 
-def corpus_counts(df: DataFrame, text: str = "text") -> Counts:
-    """Counts of all words and neighbouring pairs; those with at least the share RARE of all pairs come to the driver, at most 1 / RARE of each."""
+def _sums(df: DataFrame, text: str) -> tuple[DataFrame, int]:
+    """(pair, key, n) of all words and neighbouring pairs, materialised, and the number of all pairs."""
     parts = df.select(F.col(text).cast("string").alias("text")).mapInArrow(_count, "pair boolean, key long, n long")
     sums = cut(parts.groupBy("pair", "key").agg(F.sum("n").alias("n")))
-    total = sums.where("pair").agg(F.sum("n")).first()[0] or 0
+    return sums, sums.where("pair").agg(F.sum("n")).first()[0] or 0
+
+
+def _kept(sums: DataFrame, total: int) -> Counts:
     kept = sums.where(F.col("n") >= RARE * total).toArrow()
     tables = []
     for is_pair in (False, True):
@@ -196,14 +265,32 @@ def corpus_counts(df: DataFrame, text: str = "text") -> Counts:
     return Counts(*tables, total)
 
 
+def corpus_counts(df: DataFrame, text: str = "text") -> Counts:
+    """Counts of all words and neighbouring pairs; those with at least the share RARE of all pairs come to the driver, at most 1 / RARE of each."""
+    return _kept(*_sums(df, text))
+
+
+_FEATURES = {c: "long" if c in ("words", "links", "tags", "sentences") else "double" for c in ("words", "links", "tags", "coherence", "repeated", "distinct", "sentences")}
+
+
+def _columns(f: dict[str, np.ndarray]) -> list[pa.Array]:
+    return [pa.array(f[c]).cast(pa.int64() if kind == "long" else pa.float64()) for c, kind in _FEATURES.items()]
+
+
+def _lists(values: np.ndarray, doc: np.ndarray, n: int) -> pa.ListArray:
+    return pa.ListArray.from_arrays(pa.array(np.searchsorted(doc, np.arange(n + 1)), pa.int32()), pa.array(values))
+
+
 def page_features(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """The features of each document and whether it is stuffed: (doc_id, words, links, tags, coherence, repeated, distinct, sentences, stuffed).
 
-    A null or empty text has no words and is not stuffed; whole texts are read. An empty table gives an empty result; other columns
-    are not looked at.
+    Counts are exact: the frequent ones are broadcast, a document's others are joined to the sums, each once. A null or empty text has
+    no words and is not stuffed; whole texts are read. An empty table gives an empty result; other columns are not looked at.
     """
     context = df.sparkSession.sparkContext
-    shared = context.broadcast(corpus_counts(df, text))
+    sums, total = _sums(df, text)
+    shared = context.broadcast(_kept(sums, total))
+    schema = "doc long, " + ", ".join(f"{c} {kind}" for c, kind in _FEATURES.items())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache = _Codes()
@@ -211,9 +298,42 @@ def page_features(df: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
             for at in range(0, batch.num_rows, 2000):
                 part = batch.slice(at, 2000)
                 f = features(part.column("text").to_pylist(), cache, shared.value)
-                arrays = [pa.array(f[c]).cast(pa.int64() if c in ("words", "links", "tags", "sentences") else pa.float64()) for c in f]
-                yield pa.RecordBatch.from_arrays([part.column("doc"), *arrays, pa.array(stuffed(f))], names=["doc", *f, "stuffed"])
+                yield pa.RecordBatch.from_arrays([part.column("doc"), *_columns(f), pa.array(stuffed(f))], names=["doc", *_FEATURES, "stuffed"])
+
+    def begin(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cache = _Codes()
+        for batch in batches:
+            for at in range(0, batch.num_rows, 2000):
+                part = batch.slice(at, 2000)
+                n = part.num_rows
+                f, rest = measured(part.column("text").to_pylist(), cache, shared.value)
+                if rest is None:
+                    rest = Open(np.zeros((0, 4), np.int64), _NONE, np.zeros(0, bool), np.zeros(0, np.uint64), _NONE, _NONE)
+                ends = np.searchsorted(rest.term_doc, np.arange(n + 1)).tolist()
+                terms = pa.array([rest.terms[a:b].tobytes() for a, b in zip(ends, ends[1:])], pa.binary())
+                lists = [_lists(x, rest.key_doc, n) for x in (rest.is_pair, rest.key.view(np.int64), rest.own.astype(np.int64))]
+                yield pa.RecordBatch.from_arrays([part.column("doc"), *_columns(f), pa.array(f["pairs"]).cast(pa.int64()), terms, *lists], names=["doc", *_FEATURES, "pairs", "terms", "is_pair", "key", "own"])
+
+    def end(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            n = batch.num_rows
+            f = {c: batch.column(c).to_numpy() for c in (*_FEATURES, "pairs")}
+            terms = batch.column("terms").to_pylist()
+            term_doc = np.repeat(np.arange(n), [len(t) // 32 for t in terms])
+            own, found = batch.column("own"), batch.column("found")
+            begins = np.cumsum([0, *own.value_lengths().to_pylist()])
+            outside = -own.flatten().to_numpy()
+            joined = found.flatten()
+            doc = np.repeat(np.arange(n), np.array([x or 0 for x in found.value_lengths().to_pylist()], np.int64))
+            outside[begins[doc] + joined.field("place").to_numpy()] += joined.field("n").to_numpy()
+            f = close(f, np.frombuffer(b"".join(terms), np.int64).reshape(-1, 4), term_doc, outside, begins, total)
+            yield pa.RecordBatch.from_arrays([batch.column("doc"), *_columns(f), pa.array(stuffed(f))], names=["doc", *_FEATURES, "stuffed"])
 
     rows = df.select(F.col(doc_id).cast("long").alias("doc"), F.col(text).cast("string").alias("text"))
-    schema = "doc long, words long, links long, tags long, coherence double, repeated double, distinct double, sentences long, stuffed boolean"
-    return rows.mapInArrow(run, schema).withColumnRenamed("doc", doc_id)
+    if RARE * total <= 1:  # all counts are kept
+        return rows.mapInArrow(run, f"{schema}, stuffed boolean").withColumnRenamed("doc", doc_id)
+    begun = cut(rows.mapInArrow(begin, f"{schema}, pairs long, terms binary, is_pair array<boolean>, key array<long>, own array<long>").withColumn("row", F.monotonically_increasing_id()))
+    cold = begun.select("row", F.posexplode(F.arrays_zip("is_pair", "key")).alias("place", "k")).select("row", "place", F.col("k.is_pair").alias("pair"), "k.key")
+    counted = cold.join(sums.where(F.col("n") < RARE * total), ["pair", "key"]).groupBy("row").agg(F.collect_list(F.struct("place", "n")).alias("found"))
+    whole = begun.drop("is_pair", "key").join(counted, "row", "left").drop("row")
+    return whole.select("doc", *_FEATURES, "pairs", "terms", "own", "found").mapInArrow(end, f"{schema}, stuffed boolean").withColumnRenamed("doc", doc_id)
