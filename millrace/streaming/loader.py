@@ -10,6 +10,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from millrace.functions.text import identifier_col
 from millrace.operators.incremental import process_delta
+from millrace.operators.redelivery import deduplicated
 from millrace.sources.store import Warehouse
 
 
@@ -28,11 +29,35 @@ def stream_deltas(spark: SparkSession, source: str, schema: str, store: Warehous
 
 
 def first_deliveries(stream: DataFrame, key: str = "id_order", at: str = "received_at", late: str = "7 days") -> DataFrame:
-    """The first delivery to arrive of each message; the state forgets identifiers after the time a repeat may be late."""
+    """The first delivery to arrive of each message; the state forgets identifiers after the time a repeat may be late.
+
+    A plan without a ledger, hence not the whole: rows without an identifier and rows behind the watermark are left out. stream_once keeps both.
+    """
     rows = stream.withColumn("_key", identifier_col(F.col(key))).withColumn(at, F.col(at).cast("timestamp")).where("_key is not null")
     return rows.withWatermark(at, late).dropDuplicatesWithinWatermark(["_key"]).drop("_key")
 
 
+def stream_once(stream: DataFrame, path: str, key: str = "id_order", row_id: str = "delivery_id", at: str = "received_at") -> StreamingQuery:
+    """Take all messages that are there, append to path/rows each that repeats none before it, and stop.
+
+    path/seen is the ledger of all identifiers so far, so no row is too late: neither a first delivery nor a repeat. Within a batch the
+    earliest delivery stays, as in redelivered(). Rows without an identifier pass unchanged. Both folders have a part for each batch, which
+    is overwritten if the batch is run again.
+    """
+
+    def load(batch: DataFrame, number: int) -> None:
+        spark, part = batch.sparkSession, f"batch={number}"
+        rows = deduplicated(batch, key, row_id, at)
+        if number:
+            seen = spark.read.schema("_seen string, batch long").parquet(f"{path}/seen").where(F.col("batch") < number)
+            rows = rows.join(seen, identifier_col(rows[key]) == seen["_seen"], "left_anti")
+        rows.write.mode("overwrite").parquet(f"{path}/rows/{part}")
+        new = spark.read.schema(batch.schema).parquet(f"{path}/rows/{part}").select(identifier_col(F.col(key)).alias("_seen"))
+        new.where("_seen is not null").write.mode("overwrite").parquet(f"{path}/seen/{part}")
+
+    return stream.writeStream.foreachBatch(load).option("checkpointLocation", f"{path}/_checkpoint").trigger(availableNow=True).start()
+
+
 def windowed(stream: DataFrame, at: str, width: str, slide: str | None = None, late: str = "1 day", by: tuple[str, ...] = (), value: str = "value") -> DataFrame:
     """Count and sum in tumbling or sliding windows of event time; late rows count until the watermark passes."""
     rows = stream.withColumn(at, F.col(at).cast("timestamp")).withWatermark(at, late)
