@@ -18,6 +18,9 @@ from millrace.functions.text import is_blank
 from millrace.operators.rejects import parse_array
 from millrace.session import SMALL_ROWS, cut, is_small
 
+#: Characters of paths in one batch of results: the paths of a deep row are long.
+PATHS = 32_000_000
+
 
 def array_keys(found: list, keys: set[str]) -> None:
     """Add the names of all keys under which a list stands."""
@@ -35,9 +38,8 @@ def array_keys(found: list, keys: set[str]) -> None:
             stack.extend(v for v in x if isinstance(v, (dict, list)))
 
 
-def visit(found: list, root: str, keys: set[str]) -> list[tuple[str, str, str, dict]]:
+def visit(found: list, root: str, keys: set[str]) -> Iterator[tuple[str, str, str, dict]]:
     """(tag, node path, parent path, object) of each object that is an array's element, parents before children."""
-    out = []
     # (value, path, tag, parent): a list's elements and an object's members inherit what encloses them
     stack: list[tuple] = [(found, root, root, "")]
     while stack:
@@ -51,7 +53,7 @@ def visit(found: list, root: str, keys: set[str]) -> list[tuple[str, str, str, d
                     stack.append((v, f"{path}[{i}]", tag, parent))
             continue
         if isinstance(parent, tuple):  # an element
-            out.append((tag, path, parent[0], value))
+            yield tag, path, parent[0], value
             parent = path
         below = []
         for k, v in value.items():
@@ -63,7 +65,6 @@ def visit(found: list, root: str, keys: set[str]) -> list[tuple[str, str, str, d
                 else:
                     below.append((v, f"{path}.{k}", f"{tag}.{k}", parent))
         stack.extend(reversed(below))
-    return out
 
 
 def _keys_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -111,7 +112,14 @@ def nodes(df: DataFrame, row_id: str = "loader_id", text: str = "items", payload
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         columns = ["row", "tag", "parent_path", "node_path", *["payload"] * payload]
         for batch in batches:
-            ids, tags, parents, paths, loads = [], [], [], [], []
+            ids, tags, parents, paths, loads, size = [], [], [], [], [], 0
+
+            def full() -> pa.RecordBatch:
+                arrays = [pa.array(ids, pa.int64()), *(pa.array(x, pa.string()) for x in (tags, parents, paths, *[loads] * payload))]
+                for x in (ids, tags, parents, paths, loads):
+                    x.clear()
+                return pa.RecordBatch.from_arrays(arrays, names=columns)
+
             own_keys = [shared] * batch.num_rows if told else [set(k or ()) for k in batch.column("keys").to_pylist()]
             for row, value, keys in zip(batch.column("row").to_pylist(), batch.column("text").to_pylist(), own_keys):
                 if is_blank(value) or (found := parse_array(value, payload)) is None:
@@ -123,10 +131,11 @@ def nodes(df: DataFrame, row_id: str = "loader_id", text: str = "items", payload
                     paths.append(path)
                     if payload:
                         loads.append(json.dumps({k: v for k, v in node.items() if not isinstance(v, (dict, list))}, ensure_ascii=False))
-            arrays = [pa.array(ids, pa.int64()), pa.array(tags, pa.string()), pa.array(parents, pa.string()), pa.array(paths, pa.string())]
-            if payload:
-                arrays.append(pa.array(loads, pa.string()))
-            yield pa.RecordBatch.from_arrays(arrays, names=columns)
+                    size += len(path)
+                    if size > PATHS:
+                        yield full()
+                        size = 0
+            yield full()
 
     return rows.mapInArrow(run, "row long, tag string, parent_path string, node_path string" + ", payload string" * payload).withColumnRenamed("row", row_id)
 

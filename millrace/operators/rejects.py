@@ -32,64 +32,83 @@ _numbers = json.JSONDecoder(parse_constant=_no_constant)
 _SPACE = " \t\n\r"
 
 
-def _deep_array(text: str) -> bool:
-    """Whether a text too deep for the recursive decoder is a JSON array: a scan with an explicit stack."""
-    stack: list[str] = []
+def _deep_array(text: str, decoder: json.JSONDecoder = _decoder) -> list | None:
+    """The JSON array of a text too deep for the recursive decoder, by a scan with an explicit stack; None if it is none."""
+    stack: list[list | dict] = []
+    keys: list[str | None] = []  # of each open value: the key whose value comes next, if it is an object
     at, n, state = 0, len(text), "value"
+    root = None
     while True:
         while at < n and text[at] in _SPACE:
             at += 1
         if state == "after" and not stack:
-            return at == n
+            return root if at == n and isinstance(root, list) else None
         if at >= n:
-            return False
+            return None
         c = text[at]
         if state in ("value", "first"):
-            if state == "first" and c == "]" and stack[-1] == "[":
+            if state == "first" and c == "]":
                 stack.pop()
+                keys.pop()
                 at, state = at + 1, "after"
-            elif c in "[{":
-                stack.append(c)
-                at, state = at + 1, "first" if c == "[" else "key1"
+                continue
+            if c in "[{":
+                value: object = [] if c == "[" else {}
+                at += 1
             else:
                 try:
-                    _, at = _decoder.raw_decode(text, at)
+                    value, at = decoder.raw_decode(text, at)
                 except ValueError:
-                    return False
+                    return None
+            if not stack:
+                root = value
+            elif isinstance(stack[-1], list):
+                stack[-1].append(value)
+            else:
+                stack[-1][keys[-1]] = value
+            if c in "[{":
+                stack.append(value)
+                keys.append(None)
+                state = "first" if c == "[" else "key1"
+            else:
                 state = "after"
         elif state in ("key1", "key"):
             if c == "}" and state == "key1":
                 stack.pop()
+                keys.pop()
                 at, state = at + 1, "after"
                 continue
             if c != '"':
-                return False
+                return None
             try:
-                _, at = _decoder.raw_decode(text, at)
+                keys[-1], at = decoder.raw_decode(text, at)
             except ValueError:
-                return False
+                return None
             while at < n and text[at] in _SPACE:
                 at += 1
             if text[at : at + 1] != ":":
-                return False
+                return None
             at, state = at + 1, "value"
         elif c == ",":
-            at, state = at + 1, "value" if stack[-1] == "[" else "key"
-        elif c == ("]" if stack[-1] == "[" else "}"):
+            at, state = at + 1, "value" if isinstance(stack[-1], list) else "key"
+        elif c == ("]" if isinstance(stack[-1], list) else "}"):
             stack.pop()
+            keys.pop()
             at += 1
         else:
-            return False
+            return None
 
 
 def parse_array(text: str, numbers: bool = False) -> list | None:
-    """The JSON array of a text by RFC 8259, numbers as their text or as numbers; None if it is none or too deep to hold."""
+    """The JSON array of a text by RFC 8259, numbers as their text or as numbers; None if it is none."""
     if text.lstrip(_SPACE)[:1] != "[":
         return None
+    decoder = _numbers if numbers else _decoder
     try:
-        return (_numbers if numbers else _decoder).decode(text)
+        return decoder.decode(text)
     except RecursionError:
-        return None
+        found = _deep_array(text, decoder)
+        return parse_array(text) if numbers and found is None else found
     except ValueError:
         return parse_array(text) if numbers else None  # an integer of thousands of digits stays text
 
@@ -103,7 +122,7 @@ def is_json_array(text: str) -> bool:
     except ValueError:
         return False
     except RecursionError:
-        return _deep_array(text)
+        return _deep_array(text) is not None
 
 
 class Index:
