@@ -117,8 +117,7 @@ def _copying(pairs: dict[tuple[str, str], list[int]], accuracy: dict[str, float]
         e = max(0.01, 1 - (accuracy.get(a, 0.8) + accuracy.get(b, 0.8)) / 2)
         alone = ((1 - e) ** 2, e * e / FALSE_VALUES, max(1e-9, 1 - (1 - e) ** 2 - e * e / FALSE_VALUES))
         tied = tuple(COPY_RATE * p + (1 - COPY_RATE) * q for p, q in zip((1 - e, e, 1e-9), alone))
-        scale = min(1.0, 300 / max(1, right + wrong + unlike))  # a few hundred claims are as good as millions
-        logs = sum(k * scale * math.log(t / q) for k, t, q in zip((right, wrong, unlike), tied, alone))
+        logs = sum(k * math.log(t / q) for k, t, q in zip((right, wrong, unlike), tied, alone))
         odds = math.log(COPY_PRIOR / (1 - COPY_PRIOR)) + max(-50, min(50, logs))
         out[a, b] = out[b, a] = 1 / (1 + math.exp(-odds))
     return out
