@@ -73,11 +73,11 @@ class Mixture(NamedTuple):
     sizes: DataFrame
 
 
-def mix(df: DataFrame, targets: DataFrame, total: int | None = None, least_entropy: float | None = None, seed: int = 17, doc_id: str = "doc_id", text: str = "text", source: str = "source", path: str = VOCABULARY) -> Mixture:
+def mix(df: DataFrame, targets: DataFrame, total: int | None = None, least_entropy: float | None = None, passes: float | None = None, seed: int = 17, doc_id: str = "doc_id", text: str = "text", source: str = "source", path: str = VOCABULARY) -> Mixture:
     """Documents of the targets' sources with how often each occurs in the mixture (at least once).
 
     Documents without a source, of other sources or without tokens (null and empty texts) are never drawn. Of a partly drawn pass the
-    document at the end is in if more than half of it fits. The drawing depends on seed and ids alone. Empty tables give an empty mixture.
+    document at the end is in if more than half of it fits. passes gives the total as a multiple of the tokens that the targets' sources have. The drawing depends on seed and ids alone. Empty tables give an empty mixture.
     """
     goals = [(r["source"], float(r["target_share"]), int(r["max_repeats"])) for r in small_rows(targets) if r["source"] is not None]
     names = [s for s, _, _ in goals]
@@ -87,7 +87,10 @@ def mix(df: DataFrame, targets: DataFrame, total: int | None = None, least_entro
     blocks: dict[str, dict[int, int]] = {}
     for r in sizes.groupBy("source", "block").agg(F.sum("n_tokens").alias("n")).toLocalIterator():  # at most BLOCKS a source of the targets
         blocks.setdefault(r["source"], {})[r["block"]] = r["n"]
-    found = budgets(goals, {s: sum(b.values()) for s, b in blocks.items()}, total, least_entropy)
+    available = {s: sum(b.values()) for s, b in blocks.items()}
+    if passes is not None:
+        total = round(passes * sum(available.values()))
+    found = budgets(goals, available, total, least_entropy)
     plan = []
     for b in found:
         if b.tokens > 0:

@@ -40,11 +40,16 @@ def p9_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return report(mix(table(spark, sf_dir, "documents"), table(spark, sf_dir, "mix_targets")))
 
 
+def p9_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A mixture as large as the targets' sources together: the exponent is searched for, and scarce sources are repeated up to their limits."""
+    return mix(table(spark, sf_dir, "documents"), table(spark, sf_dir, "mix_targets"), passes=1.0).documents
+
+
 def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return page_features(table(spark, sf_dir, "documents")).where("stuffed").select("doc_id")
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p3_found, p3_fused, p8_ids, p9_mix, p9_report, p10_found)}
+QUERIES = {f.__name__: f for f in (p2_found, p3_found, p3_fused, p8_ids, p9_mix, p9_report, p9_whole, p10_found)}
 _EDGE = r"[\p{Z}\p{Cc}\p{Cf}]+"
 
 
