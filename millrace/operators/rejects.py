@@ -27,8 +27,14 @@ def _no_constant(name: str) -> None:
     raise ValueError(name)
 
 
+class Number(str):
+    """A JSON number as it was written."""
+
+    __slots__ = ()
+
+
 _decoder = json.JSONDecoder(parse_constant=_no_constant, parse_float=str, parse_int=str)
-_numbers = json.JSONDecoder(parse_constant=_no_constant)
+_as_written = json.JSONDecoder(parse_constant=_no_constant, parse_float=Number, parse_int=Number)
 _SPACE = " \t\n\r"
 
 
@@ -99,18 +105,17 @@ def _deep_array(text: str, decoder: json.JSONDecoder = _decoder) -> list | None:
             return None
 
 
-def parse_array(text: str, numbers: bool = False) -> list | None:
-    """The JSON array of a text by RFC 8259, numbers as their text or as numbers; None if it is none."""
+def parse_array(text: str, as_written: bool = False) -> list | None:
+    """The JSON array of a text by RFC 8259, numbers as plain text or, told apart from strings, as Number; None if it is none."""
     if text.lstrip(_SPACE)[:1] != "[":
         return None
-    decoder = _numbers if numbers else _decoder
+    decoder = _as_written if as_written else _decoder
     try:
         return decoder.decode(text)
     except RecursionError:
-        found = _deep_array(text, decoder)
-        return parse_array(text) if numbers and found is None else found
+        return _deep_array(text, decoder)
     except ValueError:
-        return parse_array(text) if numbers else None  # an integer of thousands of digits stays text
+        return None
 
 
 def is_json_array(text: str) -> bool:

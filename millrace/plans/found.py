@@ -67,7 +67,26 @@ def p7_scales(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {f.__name__: f for f in (p1_found, p4_found, p5_found, p5_loaded, p6_found, p6_tables, p7_found, p7_scales)}
 
 _EDGE = r"[\p{Z}\p{Cc}\p{Cf}]+"
+#: Whether items is the text of a JSON array. DuckDB also takes a comma before a closing bracket and NaN, which RFC 8259 does not.
+_BARE = r"""regexp_replace(items, '"(\\.|[^"\\])*"', '""', 'g')"""
+_IS_ARRAY = rf"""(json_valid(items) and json_type(items) = 'ARRAY' and not regexp_matches({_BARE}, ',\s*[\]}}]')
+        and not regexp_matches(regexp_replace({_BARE}, 'true|false|null|[0-9][eE]', '', 'g'), '[A-Za-z/]'))"""
 SQL = {
+    "p6_found": rf"""
+        with recursive texts as (
+            select loader_id, items::json as v from spark_loader where regexp_replace(items, '^{_EDGE}|{_EDGE}$', '', 'g') <> '' and {_IS_ARRAY}),
+        lists as (select distinct t.key as k from texts, json_tree(texts.v) t where t.type = 'ARRAY' and t.key is not null and t.fullkey not like '%]'),
+        walk as (
+            select loader_id, v, 'items' as node_path, '' as parent_path, false as node from texts
+            union all
+            select w.loader_id, c.value,
+                   case when json_type(w.v) = 'ARRAY' then w.node_path || '[' || c.key || ']'
+                        when c.type = 'OBJECT' and c.key in (select k from lists) then w.node_path || '.' || c.key || '[0]'
+                        else w.node_path || '.' || c.key end,
+                   case when w.node then w.node_path else w.parent_path end,
+                   c.type = 'OBJECT' and (json_type(w.v) = 'ARRAY' or c.key in (select k from lists))
+            from walk w, json_each(w.v) c where c.type in ('ARRAY', 'OBJECT'))
+        select loader_id, parent_path, node_path from walk where node""",
     "p1_found": rf"""
         with keyed as (
             select delivery_id, received_at,

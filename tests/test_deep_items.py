@@ -4,7 +4,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from millrace.operators.nested import nodes
-from millrace.operators.rejects import _deep_array, _numbers, is_json_array, parse_array, rejected
+from millrace.operators.rejects import _as_written, _deep_array, is_json_array, parse_array, rejected
 
 DEEP = 12_000
 ROWS = [
@@ -20,7 +20,7 @@ def test_rows_that_load_are_flattened_at_any_depth(spark):
     for payload in (False, True):
         found = nodes(df.where("loader_id <> 1"), payload=payload).collect()
         deep = "items" + "[0]" * DEEP
-        assert sorted((r.loader_id, r.parent_path, r.node_path) for r in found) == [(2, "", deep), (2, deep, deep + ".k.b[0]"), (4, "", "items[0]")]
+        assert sorted((r.loader_id, r.parent_path, r.node_path) for r in found if not payload or r.kind != "empty") == [(2, "", deep), (2, deep, deep + ".k.b[0]"), (4, "", "items[0]")]
 
 
 def test_every_level_of_a_deep_chain(spark):
@@ -47,7 +47,7 @@ def test_scanner_against_the_decoder(value, at, put):
     text = json.dumps(value, ensure_ascii=False)
     text = text[: at % (len(text) + 1)] + put + text[at % (len(text) + 1) :]
     try:
-        want = _numbers.decode(text)
+        want = _as_written.decode(text)
     except ValueError:
         want = None
-    assert _deep_array(text, _numbers) == (want if isinstance(want, list) else None)
+    assert _deep_array(text, _as_written) == (want if isinstance(want, list) else None)

@@ -110,7 +110,7 @@ def test_visit():
     keys = set()
     array_keys(DOC, keys)
     assert keys == {"a", "d"}
-    assert [(p, n) for _, n, p, _ in visit(DOC, "items", keys)] == [
+    assert [(p, n) for _, _, n, p, _, _ in visit(DOC, "items", keys)] == [
         ("", "items[0]"), ("items[0]", "items[0].a[0]"), ("items[0]", "items[0].a[2]"), ("items[0].a[2]", "items[0].a[2].c.d[0]"),
         ("", "items[2]"), ("items[2]", "items[2].a[0]"), ("items[2].a[0]", "items[2].a[0].d[0]"), ("", "items[3][0][0]"),
     ]
@@ -120,7 +120,9 @@ def test_nodes_and_tables(spark, tmp_path):
     rows = [(1, json.dumps(DOC), "k"), (2, "", "k"), (3, None, "k"), (4, "[{]", "k"), (5, '[{"b": 1.5}]', "k"), (5, '[{"b": 1.5}]', "k"), (6, "[" * 3000 + "]" * 3000, "k")]
     df = spark.createDataFrame(rows, "loader_id long, items string, tag string")
     out = nodes(df)
-    assert out.groupBy("loader_id").count().orderBy("loader_id").collect() == [(1, 8), (5, 2)]
+    assert nodes(df, payload=False).groupBy("loader_id").count().orderBy("loader_id").collect() == [(1, 8), (5, 2)]
+    assert out.where("kind in ('object', 'single')").groupBy("loader_id").count().orderBy("loader_id").collect() == [(1, 8), (5, 2)]
+    assert out.where("kind not in ('object', 'single')").groupBy("loader_id", "kind").count().orderBy("loader_id", "kind").collect() == [(1, "empty", 1), (1, "value", 2), (6, "empty", 1)]
     write_tables(out, str(tmp_path / "t"))
     assert [r.b for r in read_table(spark, str(tmp_path / "t"), "items.a", "b int").orderBy("node_path").collect()] == [1, None, 3]
     assert nodes(df.limit(0)).count() == 0
