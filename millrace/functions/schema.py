@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.sql import types as T
-
 CORRECTION = "struct<field string, original_value string, corrected_value string, rule_code string, timestamp string>"
 ORDER = (
     "id_order string, order_date string, status string, "
@@ -19,9 +17,5 @@ LAYOUTS = (
 )
 
 
-def text_schema(names: list[str] | tuple[str, ...]) -> T.StructType:
-    return T.StructType([T.StructField(n, T.StringType()) for n in names])
-
-
-#: Fields that say when and how a record was processed; no part of an order's state.
+#: Fields that say when and how a record was processed; no part of an order's state (fixed values).
 METADATA = ("_id", "id_run", "at_ingested", "processed_at", "quarantined_at", "ingest_timestamp", "file_source", "number_row_source", "engine_used", "updated_at", "record_id")

@@ -11,16 +11,16 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from millrace.functions.amounts import read_amount
+from millrace.functions.schema import LAYOUTS
 from millrace.functions.text import is_blank
 
 #: The 16 fields of a raw order record.
-ORDER_FIELDS = (
-    "id_order order_date status customer_id customer_name phone email shipping_city district items payment_method payment_status currency total_amount delivery_type delivery_cost"
-).split()
+ORDER_FIELDS = list(LAYOUTS[0])
 
 
 def _no_constant(name: str) -> None:
@@ -182,23 +182,38 @@ class Index:
         return text[1:-1].replace('""', '"') if text[:1] == '"' else text
 
 
-def record_reasons(texts: pa.Array, columns: int = 16, items: int = 9, amount: int = 13) -> list[str | None]:
+    def column(self, k: int, rows: np.ndarray) -> pa.StringArray:
+        """Field k of the well-formed records rows, their quotes resolved, without a step a row."""
+        first = self.first_comma[rows]
+        left = self.start[rows] if k == 0 else self.commas[first + k - 1] + 1
+        last = self.fields[rows] == k + 1
+        right = self.end[rows].copy()
+        right[~last] = self.commas[first[~last] + k]
+        quoted = np.zeros(len(rows), bool)
+        some = right > left
+        quoted[some] = self.data[left[some]] == 0x22
+        left, right = left + quoted, right - quoted
+        size = right - left
+        ends = np.cumsum(size)
+        at = np.arange(int(ends[-1]) if len(ends) else 0) + np.repeat(left - (ends - size), size)
+        offsets = np.concatenate([[0], ends]).astype(np.int64)
+        found = pa.LargeStringArray.from_buffers(len(rows), pa.py_buffer(offsets), pa.py_buffer(self.data[at]))
+        if quoted.any():
+            found = pc.if_else(pa.array(quoted), pc.replace_substring(found, '""', '"'), found)
+        return found.cast(pa.string())
+
+
+def record_reasons(texts: pa.Array, columns: int = 16, items: int | None = 9, amount: int | None = 13, index: Index | None = None) -> list[str | None]:
     """The first reason for which each record does not load: quoting, column_count, items_json, amount; None if it loads."""
-    texts = texts.fill_null("")
-    index = Index(texts)
-    out: list[str | None] = []
-    for row in range(len(texts)):
-        if not index.well_formed[row]:
-            out.append("quoting")
-        elif index.fields[row] != columns:
-            out.append("column_count")
-        elif not is_blank(text := index.field(row, items)) and not is_json_array(text):
-            out.append("items_json")
-        elif not is_blank(text := index.field(row, amount)) and read_amount(text) is None:
-            out.append("amount")
-        else:
-            out.append(None)
-    return out
+    index = index or Index(texts.fill_null(""))
+    reasons = np.where(~index.well_formed, "quoting", np.where(index.fields != columns, "column_count", "")).astype(object)
+    rows = np.flatnonzero(reasons == "")
+    for k, reason, loads in ((items, "items_json", is_json_array), (amount, "amount", lambda t: read_amount(t) is not None)):
+        if k is not None and len(rows):
+            bad = np.array([not is_blank(t) and not loads(t) for t in index.column(k, rows).to_pylist()], bool)
+            reasons[rows[bad]] = reason
+            rows = rows[~bad]
+    return [r or None for r in reasons.tolist()]
 
 
 def _reasons(kind: str):
@@ -231,16 +246,39 @@ def rejected(df: DataFrame, row_id: str, text: str, kind: str) -> DataFrame:
     return reasons(df, row_id, text, kind).where("reason is not null")
 
 
-def load_records(df: DataFrame, row_id: str = "raw_id", text: str = "line_text", names: list[str] | None = None) -> DataFrame:
-    """Every record with its fields as columns, or nulls and a reason: one scan makes both the valid and the reject rows."""
-    names = names or ORDER_FIELDS
+def load_records(df: DataFrame, row_id: str = "raw_id", text: str = "line_text", names: list[str] | tuple[str, ...] | None = None, keep: tuple[str, ...] = (), items: str | None = "items", amount: str | None = "total_amount") -> DataFrame:
+    """Every record with its fields as columns, or nulls and a reason: one scan makes both the valid and the reject rows.
+
+    items and amount are the fields whose values are tested, if names has them; columns to keep go before the reason. Null texts are empty records.
+    """
+    names = list(names or ORDER_FIELDS)
+    at = [names.index(c) if c in names else None for c in (items, amount)]
+    kinds = dict(df.dtypes)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = batch.column("text").fill_null("")
-            found, index = record_reasons(texts), Index(texts)
-            columns = [[index.field(r, k) if found[r] is None else None for r in range(len(found))] for k in range(len(names))]
-            yield pa.RecordBatch.from_arrays([batch.column("row"), pa.array(found, pa.string()), *(pa.array(c, pa.string()) for c in columns)], names=["row", "reason", *names])
+            index = Index(batch.column("text").fill_null(""))
+            reasons = pa.array(record_reasons(batch.column("text"), len(names), *at, index), pa.string())
+            good = np.flatnonzero(reasons.is_null().to_numpy(zero_copy_only=False))
+            place = np.full(batch.num_rows, -1)
+            place[good] = np.arange(len(good))
+            place = pa.array(place, mask=place < 0)
+            columns = [index.column(k, good).take(place) for k in range(len(names))]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], reasons, *columns], names=[*batch.schema.names[:-1], "reason", *(f"f{k}" for k in range(len(names)))])
 
-    rows = df.select(F.col(row_id).cast("long").alias("row"), F.col(text).cast("string").alias("text"))
-    return rows.mapInArrow(run, "row long, reason string, " + ", ".join(f"`{n}` string" for n in names)).withColumnRenamed("row", row_id)
+    rows = df.select(F.col(row_id).cast("long").alias("row"), *[F.col(c).alias(f"k{i}") for i, c in enumerate(keep)], F.col(text).cast("string").alias("text"))
+    schema = ", ".join(["row long", *(f"k{i} {kinds[c]}" for i, c in enumerate(keep)), "reason string", *(f"f{k} string" for k in range(len(names)))])
+    return rows.mapInArrow(run, schema).toDF(row_id, *keep, "reason", *names)
+
+
+def loaded(df: DataFrame, row_id: str, text: str, kind: str) -> DataFrame:
+    """The rows of df whose value loads, all columns kept: the others are those of rejected(). kind: items_json or amount."""
+    kinds, names = dict(df.dtypes), df.columns
+    good = {"items_json": is_json_array, "amount": lambda t: read_amount(t) is not None}[kind]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.filter(pa.array([is_blank(t) or good(t) for t in batch.column(0).to_pylist()], pa.bool_()))
+
+    rows = df.select(F.col(text).cast("string").alias("_text"), *[F.col(c).alias(f"c{i}") for i, c in enumerate(names)])
+    return rows.mapInArrow(run, ", ".join(["_text string", *(f"c{i} {kinds[c]}" for i, c in enumerate(names))])).drop("_text").toDF(*names)

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from millrace.operators.nested import nodes
 from millrace.operators.redelivery import redelivered
-from millrace.operators.rejects import load_records, rejected
+from millrace.operators.rejects import ORDER_FIELDS, load_records, loaded, rejected
 from millrace.operators.timestamps import utc_instants
 from millrace.operators.units import identity_scales, in_hundredths
 from millrace.session import table
@@ -34,8 +34,14 @@ def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p5_loaded(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The records of raw_lines that load, with their 16 fields."""
-    return load_records(table(spark, sf_dir, "raw_lines")).where("reason is null").drop("reason")
+    """What is left of the three tables: (src, row_id) and the fields of each row that loads; those that a table does not have are null."""
+    lines = load_records(table(spark, sf_dir, "raw_lines")).where("reason is null").drop("reason").withColumnRenamed("raw_id", "row_id")
+    orders = loaded(table(spark, sf_dir, "spark_loader").select("loader_id", *ORDER_FIELDS), "loader_id", "items", "items_json").withColumnRenamed("loader_id", "row_id")
+    sent = table(spark, sf_dir, "test_duplicate_orders")
+    sent = loaded(sent.select("delivery_id", *[c for c in ORDER_FIELDS if c in sent.columns]), "delivery_id", "total_amount", "amount").withColumnRenamed("delivery_id", "row_id")
+    parts = [df.withColumn("src", F.lit(src)) for src, df in (("raw_lines", lines), ("spark_loader", orders), ("test_duplicate_orders", sent))]
+    both = parts[0].unionByName(parts[1]).unionByName(parts[2], allowMissingColumns=True)
+    return both.select("src", "row_id", *ORDER_FIELDS)
 
 
 def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -12,9 +12,13 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from millrace.functions.cleaners import strip
-from millrace.functions.schema import LAYOUTS, text_schema
+from millrace.functions.schema import LAYOUTS
+from millrace.operators.rejects import load_records
+from millrace.sources.records import csv_records
 
 SUFFIXES = (".csv", ".jsonl", ".json")
+#: Where a raw record keeps the text of a CSV record that does not parse, and why it does not.
+UNPARSEABLE, REASON = "_unparseable_record", "_reject_reason"
 #: Files up to this size need no cluster-wide read.
 SMALL_MB = 200.0
 ENGINES = {"local": "local", "batch": "local", "python": "local", "python_batch": "local", "spark": "spark", "pyspark": "spark"}
@@ -83,10 +87,15 @@ def numbered(df: DataFrame, name: str = "number_row_source") -> DataFrame:
     return rows.join(F.broadcast(table), "_part").withColumn(name, F.col("_at") + F.col("_shift") + 1).drop("_part", "_at", "_shift")
 
 
-def read_csv(spark: SparkSession, path: str, multi_line: bool = True) -> DataFrame:
-    """All columns as text by exact header; quoted line breaks are part of a value."""
-    reader = spark.read.schema(text_schema(layout(path))).option("header", True).option("quote", '"').option("escape", '"').option("multiLine", multi_line)
-    return reader.csv(path)
+def read_csv(spark: SparkSession, path: str) -> DataFrame:
+    """(number_row_source, the columns as text, _reason, _record) of a CSV file; quoted line breaks are part of a value.
+
+    A record that is not well-formed or has another number of fields than the header has a reason, its text and no values.
+    """
+    names = layout(path)
+    records = csv_records(spark, path, len(names)).where("number > 0")
+    found = load_records(records, "number", "value", [f"c{i}" for i in range(len(names))], keep=("value",), items=None, amount=None)
+    return found.select(F.col("number").alias("number_row_source"), *[F.col(f"c{i}").alias(n) for i, n in enumerate(names)], F.col("reason").alias("_reason"), F.when(F.col("reason").isNotNull(), F.col("value")).alias("_record"))
 
 
 def read_lines(spark: SparkSession, path: str, wrapper: str = "_unparseable_line") -> DataFrame:
@@ -108,10 +117,13 @@ def raw_layer(df: DataFrame, id_run: str, file_source: str, engine: str, now: st
     if "record_raw" in df.columns:
         rows, key = df, business_key(F.col("record_raw"))
     else:
-        data = [c for c in df.columns if c != "number_row_source"]
+        data = [c for c in df.columns if c not in ("number_row_source", "_reason", "_record")]
         keys = [F.nullif(strip(F.col(c)), F.lit("")) for c in ("id_order", "order_id") if c in data]
         key = F.coalesce(*keys) if keys else F.lit(None).cast("string")
-        rows = df.withColumn("record_raw", F.to_json(F.struct(*data), {"ignoreNullFields": "false"}))
+        text = F.to_json(F.struct(*data), {"ignoreNullFields": "false"})
+        if "_reason" in df.columns:
+            text = F.when(F.col("_reason").isNull(), text).otherwise(F.to_json(F.struct(F.col("_record").alias(UNPARSEABLE), F.col("_reason").alias(REASON))))
+        rows = df.withColumn("record_raw", text)
     return rows.select(
         F.lit(id_run).alias("id_run"), F.lit(file_source).alias("file_source"), F.col("number_row_source").cast("long").alias("number_row_source"),
         F.lit(now).alias("at_ingested"), F.lit(engine).alias("engine_used"), key.alias("id_order"), "record_raw",
@@ -121,7 +133,7 @@ def raw_layer(df: DataFrame, id_run: str, file_source: str, engine: str, now: st
 def read_file(spark: SparkSession, found: Route, now: str, partitions: int = 0) -> DataFrame:
     """The raw layer of a routed file."""
     if found.suffix == ".csv":
-        rows = numbered(read_csv(spark, found.path))
+        rows = read_csv(spark, found.path)
     else:
         rows = read_lines(spark, found.path, "_unparseable_line" if found.suffix == ".jsonl" else "raw_line")
     if partitions > 0:
@@ -137,16 +149,16 @@ def write_raw(raw: DataFrame, path: str) -> None:
 def profile(spark: SparkSession, path: str, rows: int = 5) -> dict:
     """The first rows, the columns and the number of rows; of large files an estimate from the size."""
     found = route(path)
-    df = read_csv(spark, path) if found.suffix == ".csv" else spark.read.text(path)
+    df = read_csv(spark, path).drop("_reason", "_record").orderBy("number_row_source") if found.suffix == ".csv" else spark.read.text(path)
     exact = os.path.getsize(path) <= SMALL_MB * 2**20
-    return {"columns": df.columns, "preview": [r.asDict() for r in df.limit(rows).collect()], "rows": df.count() if exact else os.path.getsize(path) // 220, "exact": exact}
+    return {"columns": [c for c in df.columns if c != "number_row_source"], "preview": [r.asDict() for r in df.limit(rows).collect()], "rows": df.count() if exact else os.path.getsize(path) // 220, "exact": exact}
 
 
 def write_sample(spark: SparkSession, path: str, rows: int, out: str) -> None:
     """The first rows of a file, with its header, as a folder of the same format."""
     found = route(path)
     if found.suffix == ".csv":
-        read_csv(spark, path).limit(rows).coalesce(1).write.mode("overwrite").option("header", True).option("escape", '"').csv(out)
+        read_csv(spark, path).where("_reason is null").orderBy("number_row_source").limit(rows).drop("number_row_source", "_reason", "_record").coalesce(1).write.mode("overwrite").option("header", True).option("escape", '"').csv(out)
     else:
         spark.read.text(path).limit(rows).coalesce(1).write.mode("overwrite").text(out)
 
