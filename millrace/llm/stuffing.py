@@ -2,8 +2,10 @@
 
 Neighbouring words of sentences attract each other; those of a word salad do not. Two passes: the first counts all words and all
 neighbouring pairs of the corpus, the second gives each document the mean pointwise mutual information of its pairs (normalised, and
-without the document's own share of the counts, so that a page cannot vouch for itself), the share of repeated collocations, of
-links and tags, and of distinct words, and flags it by these. Counts of rare words and pairs are joined to the documents that have them.
+without the document's own share of the counts, so that a page cannot vouch for itself) and the shares of repeated collocations, of
+collocations with a link or a tag, and of distinct words. PMI is shrunk towards independence by a constant probability, so words that the
+corpus does not know say nothing, and a page counts as incoherent by its distance from the corpus's own median, whatever its size.
+Counts of rare words and pairs are joined to the documents that have them.
 """
 
 from __future__ import annotations
@@ -15,7 +17,7 @@ import numpy as np
 import pyarrow as pa
 import regex
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from millrace.session import cut
@@ -23,6 +25,13 @@ from millrace.session import cut
 #: Pairs and words rarer than this share of all pairs are not broadcast but joined, which bounds each broadcast table by 1 / RARE entries.
 RARE = 2.0**-21
 
+#: Probability added to what is observed of a pair and to what its words let expect: evidence below it counts little, no evidence nothing.
+PRIOR = 2.0**-22
+#: A page is incoherent from so many median deviations below the median on; least median deviation. The pages that the median is taken of have so many words at least.
+FAR, LEAST_DEVIATION, WORDS = 3.0, 0.01, 15
+#: Resolution of the median.
+STEPS = 10_000
+
 _TOKEN = regex.compile(r"https?://\S+|www\.\S+|<a\s[^>]*>|[(\[]dot[)\]]|#[\p{L}\p{M}\p{N}_-]+|\p{L}[\p{L}\p{M}'’-]*(?:\.[\p{L}\p{N}][\p{L}\p{N}./-]*)?")
 _LINK, _TAG = 1, 2  # codes of tokens that are no words; hashes of words are never below 16
 _ENDS = (". ", "! ", "? ", "؟ ", ".\n", "!\n", "?\n", "؟\n", ")", "]", ".\r")
@@ -112,9 +121,10 @@ def _own(doc: np.ndarray, key: np.ndarray) -> np.ndarray:
 
 
 def _npmi(pair_n: np.ndarray, left_n: np.ndarray, right_n: np.ndarray, total: int) -> np.ndarray:
-    """Normalised PMI by the counts outside the page; where there are none, a half stands for them."""
-    pair, left, right, total = np.maximum(pair_n, 0.5), np.maximum(left_n, 0.5), np.maximum(right_n, 0.5), max(total, 2)
-    return np.clip(np.log(pair * total / (left * right)) / np.maximum(-np.log(pair / total), 1e-9), -1, 1)
+    """Normalised PMI by the counts outside the page, shrunk towards 0 where there is little evidence."""
+    total = max(total, 1)
+    pair = pair_n / total + PRIOR
+    return np.clip(np.log(pair / (left_n / total * (right_n / total) + PRIOR)) / np.maximum(-np.log(pair), 1e-9), -1, 1)
 
 
 class Open(NamedTuple):
@@ -161,13 +171,14 @@ def measured(texts: list[str | None], cache: _Codes, counts: Counts) -> tuple[di
     at, out = w.left[closed], word_n - own_word
     npmi = _npmi(pair_n[closed] - own_pair[closed], out[at], out[at + 1], counts.total)
     doc = w.doc[w.left]
-    words, pairs = np.bincount(w.doc, minlength=n), np.bincount(doc, minlength=n)
+    words, pairs, marks = np.bincount(w.doc, minlength=n), np.bincount(doc, minlength=n), w.links + w.tags
     found = {
         "words": words,
         "links": w.links,
         "tags": w.tags,
         "coherence": np.bincount(doc[closed], npmi, n),
         "repeated": np.bincount(doc, own_pair >= 3, n) / np.maximum(pairs, 1),
+        "marked": np.where(marks >= 4, 2 * marks / np.maximum(2 * marks + pairs, 1), 0),
         "distinct": np.bincount(w.doc, 1 / own_word, n) / np.maximum(words, 1) if len(w.doc) else np.zeros(n),
         "sentences": np.array([0 if not t else sum(map(t.count, _ENDS)) + (t.rstrip()[-1:] in ".!?؟") for t in texts], np.int64),
         "pairs": pairs,
@@ -189,7 +200,9 @@ _NONE = np.zeros(0, np.int64)
 
 
 def features(texts: list[str | None], cache: _Codes, counts: Counts) -> dict[str, np.ndarray]:
-    """Of each document: words, links, tags, coherence (mean normalised PMI), repeated (share of pairs that occur three times or more), distinct (share of distinct words), sentences.
+    """Of each document: words, links, tags, coherence (mean normalised PMI), repeated (share of pairs that occur three times or more),
+    marked (share of collocations with a link or tag, each link and each tag being the same word; 0 below four of them), distinct (share of
+    distinct words), sentences.
 
     Keys that are not in counts do not occur outside the page.
     """
@@ -199,23 +212,35 @@ def features(texts: list[str | None], cache: _Codes, counts: Counts) -> dict[str
     return close(f, rest.terms, rest.term_doc, np.zeros(len(rest.key), np.int64), np.searchsorted(rest.key_doc, np.arange(len(texts))), counts.total)
 
 
-def stuffed(f: dict[str, np.ndarray]) -> np.ndarray:
-    """Which documents are spam by their features; each rule is one kind of page.
+def usual(found: DataFrame) -> tuple[float, float]:
+    """The median coherence of the corpus's pages, and the median deviation from it; by a histogram of at most 2 * STEPS + 1 bars."""
+    bars = found.where(F.col("words") >= WORDS).groupBy(F.round(F.col("coherence") * STEPS).cast("int").alias("at")).agg(F.count("*").alias("n")).collect()
+    if not bars:
+        return 0.0, LEAST_DEVIATION
+    at, n = np.array([r["at"] for r in bars]), np.array([r["n"] for r in bars])
+
+    def median(x: np.ndarray) -> int:
+        order = np.argsort(x, kind="stable")
+        return int(x[order][np.searchsorted(np.cumsum(n[order]), n.sum() / 2)])
+
+    middle = median(at)
+    return middle / STEPS, max(median(np.abs(at - middle)) / STEPS, LEAST_DEVIATION)
+
 
-    link and tag lists: few words to a link or tag. Pages without sentences: word salad, whose neighbours the corpus does not know as
-    neighbours, and keyword lists, a small vocabulary over and over (lists of names have a large one). Pages with sentences: phrases
-    strung together from the same few words with neighbours unknown elsewhere (repeated formulas are known).
+def stuffed(middle: float, deviation: float) -> Column:
+    """Whether a page is spam by its features, in a corpus with that median coherence and deviation.
+
+    Incoherent word salad: neighbours that attract each other far less than in the corpus's other pages, on a page without sentences
+    (keyword and product lists) or one that strings few words together (lists of names and speeches have many). Excessively repeated
+    collocations: of links or tags with whatever stands beside them, or of a small vocabulary without sentences. Repeated cries and
+    formulas are sentences or short.
     """
-    words, coherence, repeated, distinct = f["words"], f["coherence"], f["repeated"], f["distinct"]
-    link_list = (f["links"] >= 4) & (words < 10 * f["links"])
-    tag_list = (f["tags"] >= 4) & (words < 3 * f["tags"])
-    flat = f["sentences"] * 30 < words
-    salad = (words >= 15) & flat & ((coherence < 0.40) | ((coherence < 0.44) & (distinct < 0.6)))
-    keywords = (words >= 20) & flat & (distinct < 0.5) & ((coherence < 0.47) | (repeated > 0.25))
-    keywords |= (words >= 40) & flat & (distinct < 0.3)
-    strung = (words >= 50) & (coherence < 0.43) & (distinct < 0.3) & (repeated > 0.2)
-    mixed = (words >= 50) & (f["sentences"] * 15 < words) & (coherence < 0.36)
-    return link_list | tag_list | salad | keywords | strung | mixed
+    words = F.col("words")
+    flat = F.col("sentences") * 30 < words
+    incoherent = F.col("coherence") < middle - FAR * deviation
+    salad = incoherent & (((words >= WORDS) & flat) | ((words >= 50) & (F.col("distinct") < 0.3)))
+    collocations = (F.col("marked") >= 0.15) | ((words >= 20) & flat & (F.col("distinct") < 0.5) & (F.col("repeated") > 0.25))
+    return salad | collocations
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -270,7 +295,7 @@ def corpus_counts(df: DataFrame, text: str = "text") -> Counts:
     return _kept(*_sums(df, text))
 
 
-_FEATURES = {c: "long" if c in ("words", "links", "tags", "sentences") else "double" for c in ("words", "links", "tags", "coherence", "repeated", "distinct", "sentences")}
+_FEATURES = {c: "long" if c in ("words", "links", "tags", "sentences") else "double" for c in ("words", "links", "tags", "coherence", "repeated", "marked", "distinct", "sentences")}
 
 
 def _columns(f: dict[str, np.ndarray]) -> list[pa.Array]:
@@ -282,11 +307,16 @@ def _lists(values: np.ndarray, doc: np.ndarray, n: int) -> pa.ListArray:
 
 
 def page_features(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """The features of each document and whether it is stuffed: (doc_id, words, links, tags, coherence, repeated, distinct, sentences, stuffed).
+    """The features of each document and whether it is stuffed: (doc_id, words, links, tags, coherence, repeated, marked, distinct, sentences, stuffed).
 
     Counts are exact: the frequent ones are broadcast, a document's others are joined to the sums, each once. A null or empty text has
     no words and is not stuffed; whole texts are read. An empty table gives an empty result; other columns are not looked at.
     """
+    found = cut(_measured_pages(df, doc_id, text))
+    return found.withColumn("stuffed", stuffed(*usual(found))).withColumnRenamed("doc", doc_id)
+
+
+def _measured_pages(df: DataFrame, doc_id: str, text: str) -> DataFrame:
     context = df.sparkSession.sparkContext
     sums, total = _sums(df, text)
     shared = context.broadcast(_kept(sums, total))
@@ -298,7 +328,7 @@ def page_features(df: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
             for at in range(0, batch.num_rows, 2000):
                 part = batch.slice(at, 2000)
                 f = features(part.column("text").to_pylist(), cache, shared.value)
-                yield pa.RecordBatch.from_arrays([part.column("doc"), *_columns(f), pa.array(stuffed(f))], names=["doc", *_FEATURES, "stuffed"])
+                yield pa.RecordBatch.from_arrays([part.column("doc"), *_columns(f)], names=["doc", *_FEATURES])
 
     def begin(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache = _Codes()
@@ -327,13 +357,13 @@ def page_features(df: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
             doc = np.repeat(np.arange(n), np.array([x or 0 for x in found.value_lengths().to_pylist()], np.int64))
             outside[begins[doc] + joined.field("place").to_numpy()] += joined.field("n").to_numpy()
             f = close(f, np.frombuffer(b"".join(terms), np.int64).reshape(-1, 4), term_doc, outside, begins, total)
-            yield pa.RecordBatch.from_arrays([batch.column("doc"), *_columns(f), pa.array(stuffed(f))], names=["doc", *_FEATURES, "stuffed"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc"), *_columns(f)], names=["doc", *_FEATURES])
 
     rows = df.select(F.col(doc_id).cast("long").alias("doc"), F.col(text).cast("string").alias("text"))
     if RARE * total <= 1:  # all counts are kept
-        return rows.mapInArrow(run, f"{schema}, stuffed boolean").withColumnRenamed("doc", doc_id)
+        return rows.mapInArrow(run, schema)
     begun = cut(rows.mapInArrow(begin, f"{schema}, pairs long, terms binary, is_pair array<boolean>, key array<long>, own array<long>").withColumn("row", F.monotonically_increasing_id()))
     cold = begun.select("row", F.posexplode(F.arrays_zip("is_pair", "key")).alias("place", "k")).select("row", "place", F.col("k.is_pair").alias("pair"), "k.key")
     counted = cold.join(sums.where(F.col("n") < RARE * total), ["pair", "key"]).groupBy("row").agg(F.collect_list(F.struct("place", "n")).alias("found"))
     whole = begun.drop("is_pair", "key").join(counted, "row", "left").drop("row")
-    return whole.select("doc", *_FEATURES, "pairs", "terms", "own", "found").mapInArrow(end, f"{schema}, stuffed boolean").withColumnRenamed("doc", doc_id)
+    return whole.select("doc", *_FEATURES, "pairs", "terms", "own", "found").mapInArrow(end, schema)

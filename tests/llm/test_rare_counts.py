@@ -13,8 +13,8 @@ def npmi(texts):
     for page in pages:
         own_w, own_p, out = Counter(page), Counter(zip(page, page[1:])), 0.0
         for a, b in zip(page, page[1:]):
-            p, left, right = max(pairs[a, b] - own_p[a, b], 0.5), max(words[a] - own_w[a], 0.5), max(words[b] - own_w[b], 0.5)
-            out += max(-1, min(1, math.log(p * total / (left * right)) / max(-math.log(p / total), 1e-9)))
+            p, left, right = ((n / total) for n in (pairs[a, b] - own_p[a, b], words[a] - own_w[a], words[b] - own_w[b]))
+            out += max(-1, min(1, math.log((p + stuffing.PRIOR) / (left * right + stuffing.PRIOR)) / -math.log(p + stuffing.PRIOR)))
         yield out / max(len(page) - 1, 1)
 
 
