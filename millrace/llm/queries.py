@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from millrace.llm import mixing
 from millrace.llm.canonical import city_ids, status_ids
 from millrace.llm.encoding import token_ids
-from millrace.llm.mixing import mix, report
 from millrace.llm.stuffing import page_features
 from millrace.llm.survivor import FIELDS, STAND_INS, posterior_values, survivors
 from millrace.session import table
@@ -32,24 +34,45 @@ def p8_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_ids(table(spark, sf_dir, "documents"))
 
 
-def p9_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mix(table(spark, sf_dir, "documents"), table(spark, sf_dir, "mix_targets")).documents
+def _sizes(spark: SparkSession, sf_dir: str) -> mixing.Sizes:
+    return mixing.sizes(table(spark, sf_dir, "documents"), table(spark, sf_dir, "mix_targets"))
 
 
-def p9_report(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return report(mix(table(spark, sf_dir, "documents"), table(spark, sf_dir, "mix_targets")))
+#: The entropy that p9_even asks for, as a share of that of equal weights.
+EVEN = 0.97
+
+
+def _even(found: mixing.Sizes) -> mixing.Mixture:
+    return mixing.drawn(found, least_entropy=EVEN * math.log(max(1, len(found.available))))
+
+
+def p9_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The largest mixture that has the target shares."""
+    return mixing.drawn(_sizes(spark, sf_dir)).documents
 
 
 def p9_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A mixture as large as the targets' sources together: the exponent is searched for, and scarce sources are repeated up to their limits."""
-    return mix(table(spark, sf_dir, "documents"), table(spark, sf_dir, "mix_targets"), passes=1.0).documents
+    return mixing.drawn(_sizes(spark, sf_dir), passes=1.0).documents
+
+
+def p9_even(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The largest mixture by natural shares raised to the exponent at which their entropy comes near that of equal weights."""
+    return _even(_sizes(spark, sf_dir)).documents
+
+
+def p9_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What each of the three mixtures wanted of a source and got, with its exponent and entropies."""
+    found = _sizes(spark, sf_dir)
+    parts = [mixing.report(m).withColumn("mixture", F.lit(name)) for name, m in (("mix", mixing.drawn(found)), ("whole", mixing.drawn(found, passes=1.0)), ("even", _even(found)))]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
 
 
 def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return page_features(table(spark, sf_dir, "documents")).where("stuffed").select("doc_id")
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p3_found, p3_fused, p8_ids, p9_mix, p9_report, p9_whole, p10_found)}
+QUERIES = {f.__name__: f for f in (p2_found, p3_found, p3_fused, p8_ids, p9_mix, p9_report, p9_whole, p9_even, p10_found)}
 _EDGE = r"[\p{Z}\p{Cc}\p{Cf}]+"
 
 
