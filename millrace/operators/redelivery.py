@@ -1,16 +1,19 @@
 """Problem 1: messages delivered more than once.
 
-An identifier's deliveries are found in four steps, none of which gathers an identifier's rows in one task:
-
-1. every delivery gets a time bucket (equal spans between the first and the last arrival);
-2. the deliveries of an identifier within one bucket are folded to their first and their number, before the shuffle;
-3. shards of identifiers run through their buckets: a Bloom filter per bucket says which folded groups are definitely
-   new; only possible repeats are compared, exactly, with the stored groups of the buckets whose filter matched;
-4. the rows of the groups found are joined back on (bucket, identifier), so a hot identifier is split over its buckets.
+1. Every delivery gets a time bucket; the bounds are quantiles of the arrival times, so buckets hold about equally many deliveries.
+2. Each task puts the identifiers it reads into a Bloom filter per bucket, and says which it may have seen twice in one bucket. The filters,
+   side by side in one matrix of bounded size, are merged in chunks and sent to all tasks.
+3. A delivery whose identifier no other bucket's filter holds, and its own not twice, is definitely the only one: it is never shuffled.
+4. The others, possible repeats, are stored by bucket and compared exactly: deliveries of an identifier are folded before the shuffle to the one
+   that stays, and what is not among those is dropped, by its own row, so a hot identifier is no hot task.
+
+The filters hold about 200 million deliveries at a matrix of 256 MB. Beyond, they screen less and less, and from the point on where most
+would pass anyway they are left out: the exact comparison then takes all deliveries, folded before the shuffle in the same way.
 """
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -23,76 +26,125 @@ from millrace.session import cut, micros_of
 
 #: Time buckets; the words of the filter matrix have one bit for each.
 BUCKETS = 64
-#: Hash functions and positions per stored group of a shard's filter matrix.
-HASHES, SLOTS = 4, 8
-#: Folded groups that one shard should hold.
-SHARD_ROWS = 1_000_000
+#: Hash functions, and bits of a bucket's filter for each of its deliveries.
+HASHES, BITS = 4, 24
+#: Words of the largest filter matrix (8 bytes each), and of a chunk in which it is merged.
+MOST_WORDS, CHUNK = 1 << 25, 1 << 13
+#: Share of set bits in a bucket's filter from which on it tells nothing.
+FULL = 0.7
 #: Deliveries without an arrival time come after all others.
 _LATE = 2**62
 
 
-def _positions(key: np.ndarray, slots: int) -> list[np.ndarray]:
-    """The positions of 64-bit hashes in a table of slots (a power of two), by double hashing."""
+def words_for(rows: int) -> int:
+    """The words of the matrix for so many deliveries: a power of two."""
+    return min(MOST_WORDS, 1 << max(6, int(np.ceil(np.log2(max(rows, 1) / BUCKETS * BITS)))))
+
+
+def _positions(key: np.ndarray, words: int) -> list[np.ndarray]:
+    """The positions of 64-bit hashes in a matrix, by double hashing."""
     one = key.astype(np.uint64)
     two = (one >> np.uint64(32)) | np.uint64(1)
-    return [((one + np.uint64(i) * two) & np.uint64(slots - 1)).astype(np.int64) for i in range(HASHES)]
+    return [((one + np.uint64(i) * two) & np.uint64(words - 1)).astype(np.int64) for i in range(HASHES)]
 
 
 class BucketFilters:
-    """Bloom filters of all time buckets side by side: bit b of a word belongs to the filter of bucket b."""
+    """Bloom filters of all time buckets side by side: bit b of a word belongs to bucket b. again holds what may have come twice in a bucket."""
 
-    def __init__(self, rows: int):
-        self.slots = 1 << max(6, int(np.ceil(np.log2(max(rows, 1) * SLOTS / 4))))
-        self.words = np.zeros(self.slots, np.uint64)
+    def __init__(self, words: int):
+        self.seen, self.again = np.zeros(words, np.uint64), np.zeros(words, np.uint64)
 
-    def matches(self, key: np.ndarray) -> np.ndarray:
-        """For each hash the set of buckets, as bits, that may hold it."""
+    @staticmethod
+    def _all(plane: np.ndarray, key: np.ndarray) -> np.ndarray:
         found = np.full(len(key), np.uint64(2**64 - 1))
-        for at in _positions(key, self.slots):
-            found &= self.words[at]
+        for at in _positions(key, len(plane)):
+            found &= plane[at]
         return found
 
-    def add(self, key: np.ndarray, bucket: int) -> None:
-        for at in _positions(key, self.slots):
-            self.words[at] |= np.uint64(1 << bucket)
-
-
-def _screen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """One shard, its buckets in order: the groups that repeat an earlier one or hold several deliveries, with the delivery to keep."""
-    parts = [b for b in batches if b.num_rows]
-    schema = pa.schema([("bucket", pa.int32()), ("key", pa.string()), ("keep", pa.int64())])
-    if not parts:
-        return
-    rows = pa.Table.from_batches(parts)
-    h = rows["h"].to_numpy().astype(np.uint64)
-    bucket, first, delivery, n = (rows[c].to_numpy() for c in ("bucket", "first_us", "first_id", "n"))
-    key = rows["key"].to_pylist()
-    filters, stored = BucketFilters(len(h)), {}
-    groups: dict[str, list[int]] = {}  # of each identifier that repeats: its folded groups
-    order = np.argsort(bucket, kind="stable")
-    for at in np.split(order, np.flatnonzero(np.diff(bucket[order])) + 1):
-        maybe = filters.matches(h[at])
-        for b, (hashes, where) in stored.items():
-            # a row that was confirmed against one bucket needs no other: that bucket's group is linked to the rest
-            hit = np.flatnonzero((maybe >> np.uint64(b)) & np.uint64(1))
-            left, right = np.searchsorted(hashes, h[at[hit]], "left"), np.searchsorted(hashes, h[at[hit]], "right")
-            for i, lo, hi in zip(hit[right > left].tolist(), left[right > left].tolist(), right[right > left].tolist()):
-                row = int(at[i])
-                for other in where[lo:hi].tolist():
-                    if key[row] == key[other]:
-                        groups.setdefault(key[row], [other]).append(row)
-                        maybe[i] = 0
-                        break
-        b = int(bucket[at[0]])
-        by = np.argsort(h[at], kind="stable")
-        stored[b] = (h[at][by], at[by])
-        filters.add(h[at], b)
-    out: dict[int, int] = {int(g): int(delivery[g]) for g in np.flatnonzero(n > 1)}
-    for group in groups.values():
-        out |= dict.fromkeys(group, min((int(first[g]), int(delivery[g])) for g in group)[1])
-    if out:
-        at = np.fromiter(out, np.int64)
-        yield pa.RecordBatch.from_arrays([pa.array(bucket[at], pa.int32()), pa.array([key[g] for g in at.tolist()], pa.string()), pa.array(list(out.values()), pa.int64())], schema=schema)
+    def add(self, key: np.ndarray, bucket: np.ndarray) -> None:
+        mine = np.uint64(1) << bucket.astype(np.uint64)
+        order = np.lexsort((bucket, key))
+        same = np.zeros(len(key), bool)
+        same[order[1:]] = (key[order[1:]] == key[order[:-1]]) & (bucket[order[1:]] == bucket[order[:-1]])
+        twice = same | ((self._all(self.seen, key) & mine) != 0)
+        for at in _positions(key[twice], len(self.again)):
+            np.bitwise_or.at(self.again, at, mine[twice])
+        for at in _positions(key, len(self.seen)):
+            np.bitwise_or.at(self.seen, at, mine)
+
+    def merge(self, seen: np.ndarray, again: np.ndarray, at: int = 0) -> None:
+        """Add the words of another matrix from a place on: what both hold may have come twice."""
+        here = slice(at, at + len(seen))
+        self.again[here] |= again | (self.seen[here] & seen)
+        self.seen[here] |= seen
+
+    def maybe(self, key: np.ndarray, bucket: np.ndarray) -> np.ndarray:
+        """Whether each delivery may have another of its identifier: in another bucket, or twice in its own."""
+        mine = np.uint64(1) << bucket.astype(np.uint64)
+        return ((self._all(self.seen, key) & ~mine) != 0) | ((self._all(self.again, key) & mine) != 0)
+
+
+def _packed(chunk: int, seen: np.ndarray, again: np.ndarray) -> tuple[int, bytes, bytes]:
+    return chunk, zlib.compress(seen.tobytes(), 1), zlib.compress(again.tobytes(), 1)
+
+
+def _unpacked(data: bytes) -> np.ndarray:
+    return np.frombuffer(zlib.decompress(data), np.uint64)
+
+
+def _chunks(rows: list[tuple[int, bytes, bytes]]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate((pa.int32(), pa.binary(), pa.binary()))], names=["chunk", "seen", "again"])
+
+
+_CHUNKS = "chunk int, seen binary, again binary"
+
+
+def _buckets(us: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+    return np.searchsorted(bounds, us).astype(np.int64)
+
+
+def _filters(rows: DataFrame, words: int, bounds: np.ndarray) -> BucketFilters:
+    """The filters of all deliveries: a matrix a task, merged chunk by chunk in the tasks, put together here."""
+
+    def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = BucketFilters(words)
+        for batch in batches:
+            own.add(batch.column("h").to_numpy().view(np.uint64), _buckets(batch.column("us").to_numpy(), bounds))
+        for at in range(0, words, CHUNK):
+            seen = own.seen[at : at + CHUNK]
+            if seen.any():
+                yield _chunks([_packed(at // CHUNK, seen, own.again[at : at + CHUNK])])
+
+    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[int, BucketFilters] = {}
+        for batch in batches:
+            for chunk, seen, again in zip(*(c.to_pylist() for c in batch.columns)):
+                held.setdefault(chunk, BucketFilters(min(CHUNK, words))).merge(_unpacked(seen), _unpacked(again))
+        for chunk, x in held.items():
+            yield _chunks([_packed(chunk, x.seen, x.again)])
+
+    parts = rows.select("h", "us").mapInArrow(build, _CHUNKS)
+    tasks = min(-(-words // CHUNK), int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    whole = BucketFilters(words)
+    for chunk in parts.repartition(tasks, "chunk").mapInArrow(merge, _CHUNKS).collect():  # the matrix, at most MOST_WORDS twice
+        whole.merge(_unpacked(chunk["seen"]), _unpacked(chunk["again"]), chunk["chunk"] * CHUNK)
+    return whole
+
+
+def possible_repeats(rows: DataFrame, bounds: np.ndarray, count: int) -> DataFrame:
+    """The deliveries (row, key, us) that the filters do not tell to be the only ones of their identifier."""
+    words = words_for(count)
+    if 1 - np.exp(-count / BUCKETS * HASHES / words) > FULL:
+        return rows.select("row", "key", "us")
+    hashed = rows.withColumn("h", F.xxhash64("key"))
+    told = rows.sparkSession.sparkContext.broadcast(_filters(hashed, words, bounds))
+
+    def screen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            maybe = told.value.maybe(batch.column("h").to_numpy().view(np.uint64), _buckets(batch.column("us").to_numpy(), bounds))
+            yield batch.filter(pa.array(maybe)).select(["row", "key", "us"])
+
+    return hashed.select("row", "key", "us", "h").mapInArrow(screen, "row long, key string, us long")
 
 
 def redelivered(df: DataFrame, key: str = "id_order", row_id: str = "delivery_id", at: str = "received_at") -> DataFrame:
@@ -102,19 +154,11 @@ def redelivered(df: DataFrame, key: str = "id_order", row_id: str = "delivery_id
     Deliveries without an arrival time come last. An empty table gives an empty result. Other columns are not looked at.
     """
     rows = df.select(F.col(row_id).cast("long").alias("row"), identifier_col(F.col(key)).alias("key"), F.coalesce(micros_of(df, at), F.lit(_LATE)).alias("us")).where("key is not null")
-    span = rows.agg(F.min("us"), F.max(F.when(F.col("us") < _LATE, F.col("us"))), F.count("*")).first()
-    low, high, count = span[0] or 0, span[1] or 0, span[2]
-    width = max(1, (max(high, low) - low) // (BUCKETS - 1) + 1)
-    rows = rows.withColumn("bucket", F.least(F.expr(f"(us - {low}L) div {width}L"), F.lit(BUCKETS - 1)).cast("int"))
-    folded = (
-        rows.groupBy("bucket", "key")
-        .agg(F.min(F.struct("us", "row")).alias("first"), F.count("*").alias("n"))
-        .select("bucket", "key", F.xxhash64("key").alias("h"), F.col("first.us").alias("first_us"), F.col("first.row").alias("first_id"), "n")
-    )
-    shards = max(1, -(-count // SHARD_ROWS))
-    shards = max(shards, min(df.sparkSession.sparkContext.defaultParallelism, -(-count // 50_000)))
-    found = cut(folded.repartition(shards, "h").mapInArrow(_screen, "bucket int, key string, keep long"))
-    return rows.join(found, ["bucket", "key"]).where("row <> keep").select(F.col("row").alias(row_id))
+    shares = [i / BUCKETS for i in range(1, BUCKETS)]
+    facts = rows.agg(F.count("*").alias("n"), F.percentile_approx("us", shares, 1000).alias("bounds")).first()
+    repeats = cut(possible_repeats(rows, np.array(facts["bounds"] or [], np.int64), facts["n"]))
+    stays = repeats.groupBy("key").agg(F.min(F.struct("us", "row")).alias("first")).select(F.col("first.row").alias("row"), "key")
+    return repeats.join(stays, ["row", "key"], "left_anti").select(F.col("row").alias(row_id))
 
 
 def deduplicated(df: DataFrame, key: str = "id_order", row_id: str = "delivery_id", at: str = "received_at") -> DataFrame:
