@@ -91,9 +91,9 @@ def micros_of(df: DataFrame, name: str) -> Column:
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """df over at least all cores, for steps that cost far more than a shuffle of a small input.
+    """df over all cores, for steps that cost far more than a shuffle of a small input.
 
-    Few or large row groups leave cores idle. An input with partitions enough, as any large one has, is left as it is.
+    Few or large row groups leave cores idle. An input with a partition for each core, as any large one has, is left as it is.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(2 * cores) if df._jdf.queryExecution().toRdd().getNumPartitions() < 2 * cores else df
+    return df.repartition(2 * cores) if df._jdf.queryExecution().toRdd().getNumPartitions() < cores else df
