@@ -10,7 +10,7 @@ from __future__ import annotations
 
 import re
 import unicodedata
-from collections.abc import Iterable, Iterator, Sequence
+from collections.abc import Iterable, Iterator, Mapping, Sequence
 from functools import lru_cache
 
 import pyarrow as pa
@@ -18,9 +18,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from millrace.functions.text import ascii_digits, trimmed_col
-from millrace.session import small, small_rows
+from millrace.session import small, small_rows, spread
 
-#: Other ways to write an order's status, by its English label (fixed values).
+#: The default of the parameter aliases: other ways to write an order's status, by its English label (fixed values).
 STATUS_ALIASES = {
     "Pending": ("waiting", "still waiting", "awaiting confirmation", "awaiting", "not confirmed yet", "not confirmed", "on hold", "in queue", "queued", "قيد الإنتظار", "بالانتظار", "في الانتظار", "لم يؤكد بعد", "بانتظار التأكيد", "معلق"),
     "Confirmed": ("confirm", "confirmed by phone", "order confirmed", "approved", "conf. ok", "conf ok", "confirmation received", "paid", "تم التأكيد", "مأكد", "مدفوع", "مؤكدة", "أكد العميل"),
@@ -29,7 +29,8 @@ STATUS_ALIASES = {
     "Returned": ("rtn returned", "returned to sender", "sent back", "customer sent it back", "return", "ارجاع", "إرجاع", "راجع", "مرتجعة", "أُعيد للمرسل", "مسترجع", "تم الإرجاع"),
     "Cancelled": ("cancel", "canceled", "canceled by customer", "cancelled by customer", "called off", "void", "إلغاء الطلب", "ملغى", "ملغية", "تم الإلغاء", "الغاء", "ملغي من العميل", "لاغي"),
 }
-#: Words around a place name that are not part of it (fixed values, in plain form). A part that names a governorate is no city.
+#: The defaults of the parameters fillers and regions: words around a place name that are not part of it (fixed values, in plain form), and
+#: words that make a part the name of a governorate, which is no city.
 FILLERS = frozenset("city of town near market to pls please the centre center in at مدينه في المركز قرب السوق الي بلده".split())
 REGION = frozenset("governorate gov محافظه م".split())
 #: Parts of a value are separated by these, and hyphens with blanks.
@@ -134,7 +135,8 @@ class Trie:
 class Matcher:
     """Values to the entry that is meant, 0 if none is."""
 
-    def __init__(self, entries: Iterable[tuple[str, int]], regions: Iterable[str] = ()):
+    def __init__(self, entries: Iterable[tuple[str, int]], regions: Iterable[str] = (), fillers: frozenset[str] = FILLERS, region_words: frozenset[str] = REGION):
+        self.fillers, self.region_words = fillers, region_words
         self.exact: dict[str, set[int]] = {}
         pairs = [(key(text), at) for text, at in entries if text]
         for text, at in pairs:
@@ -149,7 +151,7 @@ class Matcher:
         """(distance, ids) of the nearest entries of one part; distance 99 if there is none."""
         if text in self.exact:
             return 0, frozenset(self.exact[text])
-        if len(self.known) > 300_000:
+        if len(self.known) > REMEMBER:
             self.known.clear()
         if text not in self.known:
             most = allowed(len(text))
@@ -169,20 +171,27 @@ class Matcher:
         found = [key(text)]
         for part in _PARTS.split(f" {text} "):
             words = _JOIN.sub("", part.strip(" -–")).split()
-            if words and not any(w in REGION for w in words):
+            if words and not any(w in self.region_words for w in words):
                 found.append(self._bare(words))
         found.append(self._bare(re.sub(r"[^\w]+", " ", _JOIN.sub("", text)).split()))
         return [p for p in dict.fromkeys(found) if p]
 
-    @staticmethod
-    def _bare(words: list[str]) -> str:
+    def _bare(self, words: list[str]) -> str:
         """Words without those around a name."""
-        while words and words[0] in FILLERS:
+        while words and words[0] in self.fillers:
             words.pop(0)
-        while words and words[-1] in FILLERS:
+        while words and words[-1] in self.fillers:
             words.pop()
         return key(" ".join(words))
 
+    def all(self, texts: list[str], memo: dict[str, int]) -> list[int]:
+        """match() of each text; memo holds what is known, bounded: forgetting costs time only."""
+        if len(memo) > REMEMBER:
+            memo.clear()
+        for text in set(texts).difference(memo):
+            memo[text] = self.match(text)
+        return [memo[t] for t in texts]
+
     def match(self, text: str) -> int:
         best, ids = 99, frozenset()
         for part in self._parts(text):
@@ -196,48 +205,48 @@ class Matcher:
         return next(iter(ids)) if len(ids) == 1 else 0
 
 
-def city_matcher(cities: Sequence) -> Matcher:
+def city_matcher(cities: Sequence, fillers: frozenset[str] = FILLERS, region_words: frozenset[str] = REGION) -> Matcher:
     entries = [(r[c], int(r["city_id"])) for r in cities for c in ("city_name_ar", "city_name_latin")]
-    return Matcher(entries, {r[c] for r in cities for c in ("governorate_ar", "governorate_latin")})
+    return Matcher(entries, {r[c] for r in cities for c in ("governorate_ar", "governorate_latin")}, fillers, region_words)
 
 
-def status_matcher(statuses: Sequence) -> Matcher:
-    entries = [(r[c], int(r["status_id"])) for r in statuses for c in ("status_name", "status_label")]
-    entries += [(alias, int(r["status_id"])) for r in statuses for alias in STATUS_ALIASES.get(r["status_label"], ())]
-    return Matcher(entries)
+def status_matcher(statuses: Sequence, aliases: Iterable[tuple[str, str]] | Mapping[str, Iterable[str]] = STATUS_ALIASES) -> Matcher:
+    """aliases: (an entry's name or label, another way to write it) or label -> ways."""
+    pairs = [(label, way) for label, ways in aliases.items() for way in ways] if isinstance(aliases, Mapping) else list(aliases)
+    at = {r[c]: int(r["status_id"]) for r in statuses for c in ("status_name", "status_label")}
+    return Matcher([*((name, i) for name, i in at.items()), *((way, at[label]) for label, way in pairs if label in at)])
 
 
-#: Copies of the dictionary of values: the rows of a value that many rows share are joined in so many tasks.
-SALT = 8
+#: Values and parts of values that a task remembers at most.
+REMEMBER = 300_000
 
 
 def canonical(df: DataFrame, row_id: str, value: str, matcher: Matcher, writings: DataFrame) -> DataFrame:
     """(row_id, ref_id) of each row whose value is neither blank nor exactly one of the writings; ref_id 0 is unmatched.
 
-    Different values are matched once and joined back to their rows, salted. Null and blank values give no row; very long texts are
-    compared whole; repeated rows stay. An empty table gives an empty result; other columns are not looked at.
+    Rows are matched where they are read, each different value once a task, so no value is hot and nothing is shuffled. Null and blank
+    values give no row; very long texts are compared whole; repeated rows stay. An empty table gives an empty result; other columns are
+    not looked at.
     """
     rows = df.select(F.col(row_id).cast("long").alias("row"), F.col(value).cast("string").alias("value")).where(F.col("value").isNotNull() & (trimmed_col(F.col("value")) != ""))
-    rows = rows.join(small(writings.toDF("writing").where("writing is not null").distinct()), F.col("value") == F.col("writing"), "left_anti")
+    rows = spread(rows).join(small(writings.toDF("writing").where("writing is not null").distinct()), F.col("value") == F.col("writing"), "left_anti")
+    told = df.sparkSession.sparkContext.broadcast(matcher)  # of a reference list whose size is checked
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        memo: dict[str, int] = {}
         for batch in batches:
-            values = batch.column("value")
-            yield pa.RecordBatch.from_arrays([values, pa.array([matcher.match(v) for v in values.to_pylist()], pa.int64())], names=["value", "ref_id"])
+            yield pa.RecordBatch.from_arrays([batch.column("row"), pa.array(told.value.all(batch.column("value").to_pylist(), memo), pa.int64())], names=["row", "ref_id"])
 
-    # by a fixed number: matching is dear and its input small, which adaptive execution would put into a few tasks
-    spread = max(df.sparkSession.sparkContext.defaultParallelism, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    names = rows.select("value").distinct().repartition(spread).mapInArrow(run, "value string, ref_id long")
-    names = names.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))))
-    found = rows.withColumn("salt", F.pmod("row", F.lit(SALT)).cast("int")).join(names, ["value", "salt"])
-    return found.select(F.col("row").alias(row_id), "ref_id")
+    return rows.mapInArrow(run, "row long, ref_id long").withColumnRenamed("row", row_id)
 
 
-def city_ids(df: DataFrame, cities: DataFrame, row_id: str = "loader_id", value: str = "shipping_city") -> DataFrame:
+def city_ids(df: DataFrame, cities: DataFrame, row_id: str = "loader_id", value: str = "shipping_city", fillers: frozenset[str] = FILLERS, region_words: frozenset[str] = REGION) -> DataFrame:
     writings = cities.select(F.explode(F.array("city_name_ar", "city_name_latin")))
-    return canonical(df, row_id, value, city_matcher(small_rows(cities)), writings)
+    return canonical(df, row_id, value, city_matcher(small_rows(cities), fillers, region_words), writings)
 
 
-def status_ids(df: DataFrame, statuses: DataFrame, row_id: str = "delivery_id", value: str = "status") -> DataFrame:
+def status_ids(df: DataFrame, statuses: DataFrame, row_id: str = "delivery_id", value: str = "status", aliases: DataFrame | Mapping[str, Iterable[str]] = STATUS_ALIASES) -> DataFrame:
+    """aliases: a table (entry, alias), entry being a name or label of statuses, or a mapping of labels."""
     writings = statuses.select(F.explode(F.array("status_name", "status_label")))
-    return canonical(df, row_id, value, status_matcher(small_rows(statuses)), writings)
+    ways = [(r[0], r[1]) for r in small_rows(aliases) if r[0] and r[1]] if isinstance(aliases, DataFrame) else aliases
+    return canonical(df, row_id, value, status_matcher(small_rows(statuses), ways), writings)

@@ -1,8 +1,10 @@
+import random
+
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from millrace.llm.canonical import Trie, allowed, city_ids, city_matcher, key, status_ids, status_matcher
+from millrace.llm.canonical import STATUS_ALIASES, Trie, allowed, city_ids, city_matcher, key, status_ids, status_matcher
 
 CITIES = [
     dict(city_id=1, city_name_ar="عاسولحيراة العليا", city_name_latin="Upper Aasulheraah", governorate_ar="قولنام", governorate_latin="Qulnam"),
@@ -52,3 +54,36 @@ def test_tables(spark):
     assert {r.ref_id for r in city_ids(rows, cities.limit(0)).collect()} == {0}
     sent = spark.createDataFrame([(i, "shiped") for i in range(500)], "delivery_id long, status string")
     assert status_ids(sent, spark.createDataFrame(STATUSES)).where("ref_id = 3").count() == 500
+
+
+def test_aliases_are_a_parameter(spark):
+    sent = spark.createDataFrame([(1, "on its way"), (2, "on its wey"), (3, "in transit"), (4, "shiped"), (5, "مشحونة")], "delivery_id long, status string")
+    statuses = spark.createDataFrame(STATUSES)
+    aliases = spark.createDataFrame([("Shipped", "on its way"), ("قيد الشحن", "مشحونه"), ("Nothing", "in transit"), (None, "x")], "entry string, alias string")
+    found = lambda a: {r.delivery_id: r.ref_id for r in status_ids(sent, statuses, aliases=a).collect()}
+    assert found(aliases) == {1: 3, 2: 3, 3: 0, 4: 3, 5: 3} and found({}) == {1: 0, 2: 0, 3: 0, 4: 3, 5: 0}
+    assert city_ids(spark.createDataFrame([(1, "greater kabanhea")], "loader_id long, shipping_city string"), spark.createDataFrame(CITIES), fillers=frozenset({"greater"})).first().ref_id == 3
+
+
+def test_a_hot_value_loses_no_row(spark):
+    rows = spark.range(400_000).selectExpr("id as loader_id", "if(id % 3 < 2, 'kabanhea', 'v' || id % 5000) as shipping_city")
+    out = {r.ref_id: r["count"] for r in city_ids(rows, spark.createDataFrame(CITIES)).groupBy("ref_id").count().collect()}
+    assert out == {3: 266_667, 0: 133_333}
+
+
+def edited(rnd, text, n):
+    for _ in range(n):
+        at = rnd.randrange(len(text))
+        text = rnd.choice((text[:at] + text[at + 1 :], text[:at] + rnd.choice("aeiorstnl") + text[at:], text[:at] + rnd.choice("aeiorstnl") + text[at + 1 :]))
+    return text
+
+
+def test_recall_of_writings_that_are_in_no_list():
+    """Edits of entries and aliases as far as their length allows: at least nine of ten are found, none of another entry."""
+    rnd = random.Random(1)
+    matcher = status_matcher(STATUSES)
+    entries = [(w, r["status_id"]) for r in STATUSES for w in (r["status_label"], *STATUS_ALIASES[r["status_label"]]) if w.isascii() and len(w) > 5]
+    sent = [(edited(rnd, w, rnd.randint(1, allowed(len(key(w))))), i) for w, i in entries for _ in range(20)]
+    right = sum(matcher.match(w) == i for w, i in sent)
+    wrong = sum(matcher.match(w) not in (i, 0) for w, i in sent)
+    assert right >= 0.9 * len(sent) and wrong <= 0.02 * len(sent), (right, wrong, len(sent))
