@@ -1,4 +1,4 @@
-"""python -m millrace ingest FILE | status | runs | refresh [--full] | report NAME | query NAME key=value ... | job NAME | log"""
+"""python -m millrace ingest FILE | status | runs | refresh [--full] | report NAME | query NAME key=value ... | explain NAME key=value ... | layouts | forget TABLE | idempotency FILE | job NAME | log"""
 
 from __future__ import annotations
 
@@ -8,7 +8,7 @@ import sys
 
 from millrace.functions.schema import ORDER
 from millrace.operators import lookups, reports, views
-from millrace.plans import pipeline
+from millrace.plans import layout, pipeline
 from millrace.session import session
 from millrace.sources.store import Warehouse
 
@@ -29,7 +29,7 @@ def main(args: list[str] | None = None) -> int:
     parser.add_argument("--store", required=True)
     parser.add_argument("--master")
     parser.add_argument("--full", action="store_true")
-    parser.add_argument("command", choices=("ingest", "status", "runs", "refresh", "report", "query", "job", "log"))
+    parser.add_argument("command", choices=("ingest", "status", "runs", "refresh", "report", "query", "explain", "layouts", "forget", "idempotency", "job", "log"))
     parser.add_argument("rest", nargs="*")
     given = parser.parse_args(args)
     spark = session(master=given.master)
@@ -49,6 +49,16 @@ def main(args: list[str] | None = None) -> int:
     elif given.command in ("report", "query"):
         registry = reports.AGGREGATIONS if given.command == "report" else lookups.QUERIES
         show(rows(lookups.run(registry, given.rest[0], store.read("orders_validated", ORDER), **_values(given.rest[1:]))))
+    elif given.command == "explain":
+        show(layout.plan_of(lookups.run(lookups.QUERIES, given.rest[0], store.read("orders_validated", ORDER), **_values(given.rest[1:]))))
+    elif given.command == "layouts":
+        show(layout.layouts(store))
+    elif given.command == "forget":
+        show({"forgotten": layout.forget(store, given.rest[0])})
+    elif given.command == "idempotency":
+        one, two = (pipeline.ingest(spark, store, given.rest[0]) for _ in range(2))
+        show({"first": one, "second": two})
+        return 0 if two["inserted"] == two["updated"] == 0 else 1
     elif given.command == "job":
         show(pipeline.run_job(store, given.rest[0]))
     else:

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from millrace.functions.cleaners import strip
-from millrace.operators.upsert import upsert
+from millrace.operators.upsert import touched, upsert
 from millrace.session import cut
 from millrace.sources.store import Warehouse
 
@@ -43,7 +43,8 @@ def watermark(records: DataFrame, start: str) -> str:
     return max(start, found) if found else start
 
 
-def _load(store: Warehouse, records: DataFrame, now: str, pipeline: str, table: str, mode: str, force: bool) -> dict:
+def _load(store: Warehouse, records: DataFrame, now: str, pipeline: str, table: str, mode: str, force: bool, state: dict | None = None) -> dict:
+    base = store.number
     used = store.state.get(pipeline, EPOCH) if mode == "delta_load" else EPOCH
     read = records if "_row" in records.columns else records.withColumn("_row", F.monotonically_increasing_id())
     read = cut(read)
@@ -57,13 +58,16 @@ def _load(store: Warehouse, records: DataFrame, now: str, pipeline: str, table:
     accepted = judged.where("_accepted").drop("_accepted")
     counts = {r: n for r, n in zip(("read", "delta", "keyed", "judged", "accepted"), (read.count(), delta.count(), keyed.count(), judged.count(), accepted.count()))}
     new = watermark(judged, used)
-    done = upsert(stored, accepted, now)
+    done = upsert(touched(stored, accepted), accepted, now)
     merged = cut(done.merged)
     actions = done._replace(merged=merged).counts()
     events = accepted.where("event_id is not null and event_id <> ''").groupBy("event_id").agg(F.max("id_order").alias("id_order")).withColumn("processed_at", F.lit(now))
-    events = ledger.join(events.select("event_id"), "event_id", "left_anti").unionByName(events)
-    if counts["accepted"] or new != used or mode == "initial_load":
-        store.commit({table: merged.drop("_action"), "processed_events": events}, {pipeline: new})
+    if counts["accepted"] or new != used or mode == "initial_load" or state:
+        changes = {}
+        if counts["accepted"] or not store.has(table):
+            written = merged.where("_action in ('inserted', 'updated')").drop("_action")
+            changes = {table: (written, "id_order"), "processed_events": (events, "event_id")}
+        store.commit(upsert=changes, state={pipeline: new} | (state or {}), base=base)
     return {
         "mode": mode,
         "watermark_used": used,
@@ -82,10 +86,10 @@ def initial_load(store: Warehouse, records: DataFrame, now: str, pipeline: str =
     return _load(store, records, now, pipeline, table, "initial_load", False)
 
 
-def process_delta(store: Warehouse, records: DataFrame, now: str, pipeline: str = "incremental", table: str = "orders_validated", force: bool = False) -> dict:
+def process_delta(store: Warehouse, records: DataFrame, now: str, pipeline: str = "incremental", table: str = "orders_validated", force: bool = False, state: dict | None = None) -> dict:
     """Filter by the watermark (unless forced), skip events seen before, reject stale versions, upsert the rest, advance the watermark.
 
-    Table, ledger and watermark are committed together. Of several versions of a key in one batch the last in the batch's order wins,
+    The changed rows, the ledger's new events, the watermark and more state, if given, are committed together, and nothing else is written. Of several versions of a key in one batch the last in the batch's order wins,
     each having been compared with the store. Rejected records advance the watermark too.
     """
-    return _load(store, records, now, pipeline, table, "delta_load", force)
+    return _load(store, records, now, pipeline, table, "delta_load", force, state)

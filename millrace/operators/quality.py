@@ -231,6 +231,9 @@ def validate(rows: DataFrame, allowed: dict[str, tuple[str, ...]] | None = None)
     errors = F.concat(_some(*checks).cast(error), F.coalesce(F.flatten(F.transform("_lines", line_errors)), F.array().cast(error)).cast(error), _some(*last).cast(error))
     # always true, but not to the optimizer: a filter on the outcome must not drag all checks through every step below
     rows = rows.withColumn("errors", F.when(F.spark_partition_id() >= 0, errors))
+    # a record that is none gives nothing that the checks could tell apart
+    none = F.array(*[F.struct(F.lit(code).alias("code"), F.lit("the record is no JSON object").alias("detail")) for code in ("JSON_ITEMS_CORRUPTED", "ERRORS_CONFLICTING_MULTIPLE")])
+    rows = rows.withColumn("errors", F.when(F.col("is_record"), F.col("errors")).otherwise(none.cast(error)))
     several = (F.size("errors") > 1) & ~F.exists("errors", lambda x: x["code"] == "ERRORS_CONFLICTING_MULTIPLE")
     more = F.array(F.struct(F.lit("ERRORS_CONFLICTING_MULTIPLE").alias("code"), F.concat(F.size("errors").cast("string"), F.lit(" errors")).alias("detail")))
     return rows.withColumn("errors", F.when(several, F.concat("errors", more)).otherwise(F.col("errors")))
@@ -245,7 +248,7 @@ def classify(df: DataFrame, raw: str = "record_raw", now: str | None = None, all
         outcome.alias("outcome"),
         F.array_sort(F.array_distinct(F.transform("errors", lambda x: x["code"]))).alias("codes_error"),
         F.transform("errors", lambda x: x["detail"]).alias("details_error"),
-        "cleaned",
+        F.when(F.col("is_record"), F.col("cleaned")).alias("cleaned"),
         "corrections",
     )
 

@@ -10,6 +10,7 @@ from pyspark.sql import types as T
 
 from millrace.functions.cleaners import strip
 from millrace.functions.schema import METADATA
+from millrace.session import small
 
 
 def keep_last(df: DataFrame, key: str, order: str) -> DataFrame:
@@ -46,6 +47,12 @@ class Upsert(NamedTuple):
         return self.merged.drop("_action")
 
 
+def touched(target: DataFrame, source: DataFrame, key: str = "id_order") -> DataFrame:
+    """The rows of target whose key source has; keys of a checked size are brought to the target, so that it is not shuffled."""
+    keys = source.select(F.nullif(strip(F.col(key)), F.lit("")).alias("_touched")).where("_touched is not null").distinct()
+    return target.join(small(keys), target[key] == F.col("_touched"), "left_semi")
+
+
 def upsert(target: DataFrame, source: DataFrame, now: str, key: str = "id_order", order: str = "_row", updated: str = "updated_at") -> Upsert:
     """Merge source into target, which has one row for each key.
 

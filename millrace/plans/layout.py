@@ -20,10 +20,30 @@ def sorted_rows(df: DataFrame, *keys: str) -> DataFrame:
 
 def rewrite(store: Warehouse, table: str, keys: tuple[str, ...] = SORT) -> dict:
     """Commit a table anew in sorted order."""
-    number = store.commit({table: sorted_rows(store.read(table), *keys)})
+    number = store.compact(table, sorted_rows(store.read(table), *keys))
+    store.commit(state={"layouts": {table: list(keys)}})
     return {"table": table, "sorted_by": list(keys), "commit": number}
 
 
+def layouts(store: Warehouse) -> dict[str, list[str]]:
+    """The tables that were sorted, and by what."""
+    return {table: keys for table, keys in store.state.get("layouts", {}).items() if keys}
+
+
+def forget(store: Warehouse, table: str) -> bool:
+    """Let a table be compacted without an order from now on; whether it had one."""
+    had = table in layouts(store)
+    if had:
+        store.commit(state={"layouts": {table: []}})
+    return had
+
+
+def compact(store: Warehouse, table: str) -> int:
+    """One folder of a table's many, in its order if it has one."""
+    keys = layouts(store).get(table)
+    return store.compact(table, sorted_rows(store.read(table), *keys) if keys else None)
+
+
 def plan_of(df: DataFrame) -> dict:
     """What of a plan tells an access path: the filters at the scan, the columns read, the operators from the top."""
     text = df._jdf.queryExecution().executedPlan().toString()

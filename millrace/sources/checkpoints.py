@@ -25,10 +25,13 @@ class Checkpoint(NamedTuple):
     error: str = ""
 
 
+def state_of(point: Checkpoint) -> dict:
+    """A checkpoint as a change of the store's state."""
+    return {"checkpoints": {f"{point.fingerprint}_{point.id_run}": list(point)}}
+
+
 def save(store: Warehouse, point: Checkpoint) -> None:
-    held = store.state.get("checkpoints", {})
-    held[f"{point.fingerprint}_{point.id_run}"] = list(point)
-    store.commit(state={"checkpoints": held})
+    store.commit(state=state_of(point))
 
 
 def all_of(store: Warehouse, fingerprint: str) -> list[Checkpoint]:

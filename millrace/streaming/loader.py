@@ -21,8 +21,7 @@ def stream_deltas(spark: SparkSession, source: str, schema: str, store: Warehous
         mark = f"batch:{pipeline}"
         if store.state.get(mark, -1) >= number:
             return
-        process_delta(store, batch, now(), pipeline)
-        store.commit(state={mark: number})
+        process_delta(store, batch, now(), pipeline, state={mark: number})
 
     reader = spark.readStream.schema(schema).option("maxFilesPerTrigger", files).parquet(source)
     return reader.writeStream.foreachBatch(load).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
