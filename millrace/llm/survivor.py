@@ -11,6 +11,7 @@ import math
 from collections.abc import Iterator, Sequence
 from typing import NamedTuple
 
+import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -30,8 +31,8 @@ STAND_INS = (
 )
 #: Fusion: rounds, false values that a field may take, prior chance that two sources copy, chance that a copier copies a value.
 ROUNDS, FALSE_VALUES, COPY_PRIOR, COPY_RATE = 4, 20, 0.1, 0.8
-#: Sources that can be compared pair by pair.
-SOURCES = 200
+#: Pairs of sources with a claim in common that can be told to every task, and sums that a task holds at a time.
+PAIRS, HELD = 1_000_000, 500_000
 
 
 def given(value: Column) -> Column:
@@ -71,10 +72,13 @@ def survivors(df: DataFrame, trust: DataFrame, fields: Sequence[str] = FIELDS, k
     return found.select(F.col("key").alias(key), F.inline(pairs)).where("minus is not null").select(key, "field", (-F.col("minus")).alias(record_id))
 
 
+USUAL_VOTE = math.log(FALSE_VALUES * 0.8 / 0.2)
+
+
 class _Beliefs(NamedTuple):
     """What a round knows: votes by source and field, the order of the sources, what a source's vote keeps beside one it may copy."""
 
-    votes: dict[tuple[str, str], float]
+    votes: dict[tuple[str, str], float]  # a source that no claim has been compared of has the usual one
     order: dict[str, int]
     keep: dict[tuple[str, str], float]
 
@@ -85,10 +89,10 @@ class _Beliefs(NamedTuple):
             by.setdefault(value, []).append(source)
         scores = {}
         for value, sources in by.items():
-            sources.sort(key=self.order.__getitem__)
+            sources.sort(key=lambda s: (self.order.get(s, len(self.order)), s))
             scores[value] = 0.0
             for i, source in enumerate(sources):
-                vote = self.votes[source, field]
+                vote = self.votes.get((source, field), USUAL_VOTE)
                 for other in sources[:i]:
                     vote *= self.keep.get((source, other), 1.0)
                 scores[value] += vote
@@ -128,52 +132,77 @@ def posterior_values(df: DataFrame, fields: Sequence[str] = FIELDS, key: str = "
 
     A source has one claim for a field of an identifier: its latest given value (then the smallest record id). Records without a source
     have a source of their own. Support is the number of sources that claim the value. Blank identifiers are left out; an empty
-    table gives an empty result. Claims are shuffled once; a round is one pass that only sends sums of sources and pairs of sources.
+    table gives an empty result. Claims are shuffled once as a row for each source of an identifier; a round is one pass that only sends
+    sums of sources and pairs of sources. Sources may be any number; more than PAIRS pairs of them with claims in common are an error.
     """
     rows = _records(df, fields, key, record_id, source, updated).withColumn("source", F.coalesce("source", F.lit("")))
-    sources = rows.select("source").distinct()
-    if not is_small(sources, SOURCES):
-        raise ValueError(f"copy detection compares at most {SOURCES} sources pair by pair")
-    names = sorted(r["source"] for r in sources.collect())
-    latest = [F.max(F.when(F.col(f"f{i}").isNotNull(), F.struct(F.coalesce("us", F.lit(-(2**63))), -F.col("record"), f"f{i}"))).alias(f"b{i}") for i in range(len(fields))]
-    folded = rows.groupBy("key", "source").agg(*latest)
-    claims = folded.select("key", "source", F.inline(F.array(*[F.struct(F.lit(f).alias("field"), F.col(f"b{i}.f{i}").alias("value")) for i, f in enumerate(fields)]))).where("value is not null")
-    # at most one claim of each source, hence at most SOURCES elements
-    groups = cut(claims.groupBy("key", "field").agg(F.collect_list("source").alias("sources"), F.collect_list("value").alias("values")))
-    contested = groups.where(F.size("sources") > 1)
+    names = [f"f{i}" for i in range(len(fields))]
+    latest = [F.max(F.when(F.col(f).isNotNull(), F.struct(F.coalesce("us", F.lit(-(2**63))), -F.col("record"), f))).alias(f"b_{f}") for f in names]
+    folded = rows.groupBy("key", "source").agg(*latest).select("key", "source", *[F.col(f"b_{f}.{f}").alias(f) for f in names])
+    # one element for each source of an identifier
+    groups = cut(folded.where(F.coalesce(*names).isNotNull()).groupBy("key").agg(*[F.collect_list(F.struct("source", f)).alias(f) for f in names]))
+
+    def claims(batch: pa.RecordBatch, f: str) -> tuple[np.ndarray, list[str], list[str]]:
+        """The bounds of each identifier's claims for a field among all of the batch, their sources and their values."""
+        lists = batch.column(f)
+        parts = lists.flatten()
+        given = parts.field(1).is_valid()
+        ends = np.concatenate([[0], np.cumsum(given.to_numpy(zero_copy_only=False))])
+        bounds = np.concatenate([[0], np.cumsum(lists.value_lengths().to_numpy())])
+        parts = parts.filter(given)
+        return ends[bounds], parts.field(0).to_pylist(), parts.field(1).to_pylist()
+
     accuracy: dict[tuple[str, str], float] = {}
     depends: dict[tuple[str, str], float] = {}
+    sources: set[str] = set()
     for turn in range(rounds - 1):
-        told = _beliefs(names, fields, accuracy, depends)
+        told = df.sparkSession.sparkContext.broadcast(_beliefs(sorted(sources), fields, accuracy, depends))
 
         def tally(batches: Iterator[pa.RecordBatch], told=told, turn=turn) -> Iterator[pa.RecordBatch]:
             sums: dict[tuple[str, str, str], list[int]] = {}
+
+            def out() -> pa.RecordBatch:
+                found = [(*k, *n, k[1] == "") for k, n in sums.items()]
+                sums.clear()
+                return pa.RecordBatch.from_arrays([pa.array([r[i] for r in found], t) for i, t in enumerate((pa.string(), pa.string(), pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.bool_()))], names=list("sfoabcp"))
+
             for batch in batches:
-                for field, who, what in zip(*(batch.column(c).to_pylist() for c in ("field", "sources", "values"))):
-                    true = told.judge(field, list(zip(who, what)))[0]
-                    for i, (s, v) in enumerate(zip(who, what)):
-                        one = sums.setdefault((s, field, ""), [0, 0, 0])
-                        one[0] += v == true
-                        one[1] += 1
-                        for t, w in zip(who[:i], what[:i]):
-                            two = sums.setdefault((min(s, t), "", max(s, t)), [0, 0, 0])
-                            # what the majority says is no truth yet: at first only agreeing always tells
-                            two[2 if v != w else 0 if turn == 0 or v == true else 1] += 1
-            out = [(*k, *n, k[1] == "") for k, n in sums.items()]
-            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], t) for i, t in enumerate((pa.string(), pa.string(), pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.bool_()))], names=list("sfoabcp"))
-
-        found = contested.select("field", "sources", "values").mapInArrow(tally, "s string, f string, o string, a long, b long, c long, p boolean")
-        sums = found.groupBy("s", "f", "o", "p").agg(F.sum("a").alias("a"), F.sum("b").alias("b"), F.sum("c").alias("c")).collect()  # sources times fields and pairs of sources
+                for field, f in zip(fields, names):
+                    bounds, all_who, all_what = claims(batch, f)
+                    for at in np.flatnonzero(np.diff(bounds) > 1).tolist():
+                        who, what = all_who[bounds[at] : bounds[at + 1]], all_what[bounds[at] : bounds[at + 1]]
+                        true = told.value.judge(field, list(zip(who, what)))[0]
+                        for i, (s, v) in enumerate(zip(who, what)):
+                            one = sums.setdefault((s, field, ""), [0, 0, 0])
+                            one[0] += v == true
+                            one[1] += 1
+                            for t, w in zip(who[:i], what[:i]):
+                                two = sums.setdefault((min(s, t), "", max(s, t)), [0, 0, 0])
+                                # what the majority says is no truth yet: at first only agreeing always tells
+                                two[2 if v != w else 0 if turn == 0 or v == true else 1] += 1
+                    if len(sums) > HELD:
+                        yield out()
+            yield out()
+
+        found = groups.mapInArrow(tally, "s string, f string, o string, a long, b long, c long, p boolean")
+        found = cut(found.groupBy("s", "f", "o", "p").agg(F.sum("a").alias("a"), F.sum("b").alias("b"), F.sum("c").alias("c")))
+        if not is_small(found, PAIRS):
+            raise ValueError(f"copy detection compares at most {PAIRS} pairs of sources that have claims in common")
+        sums = found.collect()
+        sources = {r["s"] for r in sums} | {r["o"] for r in sums if r["p"]}
         # first only who depends on whom, with equal accuracies: copied mistakes must not make their sources look right
         if turn:
             accuracy = {(r["s"], r["f"]): (r["a"] + 4) / (r["b"] + 5) for r in sums if not r["p"]}
-        means = {s: [accuracy[s, f] for f in fields if (s, f) in accuracy] for s in names}
+        means = {s: [accuracy[s, f] for f in fields if (s, f) in accuracy] for s in sources} if accuracy else {}
         depends = _copying({(r["s"], r["o"]): [r["a"], r["b"], r["c"]] for r in sums if r["p"]}, {s: sum(m) / len(m) for s, m in means.items() if m})
-    told = _beliefs(names, fields, accuracy, depends)
+    told = df.sparkSession.sparkContext.broadcast(_beliefs(sorted(sources), fields, accuracy, depends))
 
     def choose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = [told.judge(f, list(zip(who, what))) for f, who, what in zip(*(batch.column(c).to_pylist() for c in ("field", "sources", "values")))]
-            yield pa.RecordBatch.from_arrays([batch.column("key"), batch.column("field"), pa.array([r[0] for r in out], pa.string()), pa.array([r[1] for r in out], pa.float64()), pa.array([r[2] for r in out], pa.int64())], names=["key", "field", "value", "posterior", "support"])
+            for field, f in zip(fields, names):
+                bounds, who, what = claims(batch, f)
+                at = np.flatnonzero(np.diff(bounds) > 0)
+                out = [told.value.judge(field, list(zip(who[bounds[k] : bounds[k + 1]], what[bounds[k] : bounds[k + 1]]))) for k in at.tolist()]
+                yield pa.RecordBatch.from_arrays([batch.column("key").take(pa.array(at)), pa.array([field] * len(at), pa.string()), pa.array([r[0] for r in out], pa.string()), pa.array([r[1] for r in out], pa.float64()), pa.array([r[2] for r in out], pa.int64())], names=["key", "field", "value", "posterior", "support"])
 
     return groups.mapInArrow(choose, "key string, field string, value string, posterior double, support long").withColumnRenamed("key", key)
