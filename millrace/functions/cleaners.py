@@ -133,6 +133,15 @@ def is_iso(col: Column) -> Column:
     return let(text, lambda t: F.coalesce(t.rlike(ISO_PATTERN) & t.try_cast("timestamp").isNotNull(), F.lit(False)))
 
 
+def json_value(col: Column) -> Column:
+    """The variant of a JSON text; null if it is none. try_parse_json alone takes a value with anything behind it.
+
+    What stands behind a value can fit behind it in an object or in an array, but never in both.
+    """
+    alone = F.try_parse_json(F.concat(F.lit('{"v":'), col, F.lit("}"))).isNotNull() & F.try_parse_json(F.concat(F.lit("["), col, F.lit("]"))).isNotNull()
+    return F.when(alone, F.try_parse_json(col))
+
+
 def content_key(id_order: Column, columns: Sequence[str]) -> Column:
     """The trimmed identifier, or HASH_ and the SHA-256 of the row's content with sorted keys and all values as text."""
     content = F.to_json(F.struct(*[F.coalesce(F.col(c).cast("string"), F.lit("None")).alias(c) for c in sorted(columns)]))

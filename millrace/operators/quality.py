@@ -81,7 +81,7 @@ def clean(df: DataFrame, raw: str = "record_raw", now: str | None = None) -> Dat
     A text that is no JSON object gives a record of nulls with is_record false. Null stays null; nothing is guessed.
     """
     stamp = F.lit(now).cast("string")
-    rows = df.withColumn("v", F.try_parse_json(raw))
+    rows = df.withColumn("v", C.json_value(F.col(raw)))
     is_record = F.coalesce(F.schema_of_variant(F.col("v")).startswith("OBJECT"), F.lit(False))
     nested = _is_object("customer")
     flat = {name: _first(*paths) for name, paths in ALIASES.items()}
@@ -125,7 +125,7 @@ def clean(df: DataFrame, raw: str = "record_raw", now: str | None = None) -> Dat
         F.coalesce(_at("items"), _at("items_json")).alias("_items_text"),
         *[_at(c, k).alias(f"_{c}") for c, k in (("version", "int"), ("updated_at", "string"), ("event_id", "string"), ("is_duplicate", "boolean"))],
     )
-    parsed = F.when(F.col("_items_kind") == "STRING", F.try_parse_json("_items_text")).otherwise(F.coalesce(F.try_variant_get("v", "$.items", "variant"), F.try_variant_get("v", "$.items_json", "variant")))
+    parsed = F.when(F.col("_items_kind") == "STRING", C.json_value(F.col("_items_text"))).otherwise(F.coalesce(F.try_variant_get("v", "$.items", "variant"), F.try_variant_get("v", "$.items_json", "variant")))
     rows = rows.withColumn("_items", parsed)
     is_array = F.coalesce(F.schema_of_variant("_items").startswith("ARRAY"), F.lit(False))
     rows = rows.withColumn("_is_array", is_array).withColumn("_lines", F.when(F.col("_is_array"), F.transform(F.try_variant_get("_items", "$", "array<variant>"), _item)))

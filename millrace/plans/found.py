@@ -74,13 +74,14 @@ QUERIES = {f.__name__: f for f in (p1_found, p4_found, p5_found, p5_loaded, p6_f
 
 _EDGE = r"[\p{Z}\p{Cc}\p{Cf}]+"
 #: Whether items is the text of a JSON array. DuckDB also takes a comma before a closing bracket and NaN, which RFC 8259 does not.
-_BARE = r"""regexp_replace(items, '"(\\.|[^"\\])*"', '""', 'g')"""
-_IS_ARRAY = rf"""(json_valid(items) and json_type(items) = 'ARRAY' and not regexp_matches({_BARE}, ',\s*[\]}}]')
-        and not regexp_matches(regexp_replace({_BARE}, 'true|false|null|[0-9][eE]', '', 'g'), '[A-Za-z/]'))"""
+BARE = r"""regexp_replace(items, '"(\\.|[^"\\])*"', '""', 'g')"""
+SAFE = "case when json_valid(items) then items else 'null' end"
+IS_ARRAY = rf"""(json_valid(items) and json_type({SAFE}) = 'ARRAY' and not regexp_matches({BARE}, ',\s*[\]}}]')
+        and not regexp_matches(regexp_replace({BARE}, 'true|false|null|[0-9][eE]', '', 'g'), '[A-Za-z/]'))"""
 SQL = {
     "p6_found": rf"""
         with recursive texts as (
-            select loader_id, items::json as v from spark_loader where regexp_replace(items, '^{_EDGE}|{_EDGE}$', '', 'g') <> '' and {_IS_ARRAY}),
+            select loader_id, ({SAFE})::json as v from spark_loader where regexp_replace(items, '^{_EDGE}|{_EDGE}$', '', 'g') <> '' and {IS_ARRAY}),
         lists as (select distinct t.key as k from texts, json_tree(texts.v) t where t.type = 'ARRAY' and t.key is not null and t.fullkey not like '%]'),
         walk as (
             select loader_id, v, 'items' as node_path, '' as parent_path, false as node from texts

@@ -11,7 +11,7 @@ from typing import NamedTuple
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.functions.cleaners import strip
+from millrace.functions.cleaners import json_value, strip
 from millrace.functions.schema import LAYOUTS
 from millrace.operators.rejects import load_records
 from millrace.sources.records import csv_records
@@ -87,12 +87,12 @@ def numbered(df: DataFrame, name: str = "number_row_source") -> DataFrame:
     return rows.join(F.broadcast(table), "_part").withColumn(name, F.col("_at") + F.col("_shift") + 1).drop("_part", "_at", "_shift")
 
 
-def read_csv(spark: SparkSession, path: str) -> DataFrame:
-    """(number_row_source, the columns as text, _reason, _record) of a CSV file; quoted line breaks are part of a value.
+def read_csv(spark: SparkSession, path: str, names: list[str] | None = None) -> DataFrame:
+    """(number_row_source, the columns as text, _reason, _record) of a CSV file, or of a folder of files whose columns have these names; quoted line breaks are part of a value.
 
     A record that is not well-formed or has another number of fields than the header has a reason, its text and no values.
     """
-    names = layout(path)
+    names = names or layout(path)
     records = csv_records(spark, path, len(names)).where("number > 0")
     found = load_records(records, "number", "value", [f"c{i}" for i in range(len(names))], keep=("value",), items=None, amount=None)
     return found.select(F.col("number").alias("number_row_source"), *[F.col(f"c{i}").alias(n) for i, n in enumerate(names)], F.col("reason").alias("_reason"), F.when(F.col("reason").isNotNull(), F.col("value")).alias("_record"))
@@ -102,7 +102,7 @@ def read_lines(spark: SparkSession, path: str, wrapper: str = "_unparseable_line
     """(number_row_source, record_raw) of each line that is not blank; blank ones use up a number. A line that is no JSON is wrapped."""
     rows = numbered(spark.read.text(path)).where(F.trim("value") != "")
     wrapped = F.to_json(F.struct(F.col("value").alias(wrapper)))
-    return rows.select("number_row_source", F.when(F.try_parse_json("value").isNotNull(), F.col("value")).otherwise(wrapped).alias("record_raw"))
+    return rows.select("number_row_source", F.when(json_value(F.col("value")).isNotNull(), F.col("value")).otherwise(wrapped).alias("record_raw"))
 
 
 def business_key(raw: Column) -> Column:

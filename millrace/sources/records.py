@@ -1,11 +1,12 @@
 """CSV files as records, by many tasks: where a record ends is found across lines and splits.
 
-Lines are read by the splits of the text source. A line with an odd number of quotes opens or closes a quoted line break, so a block of
-lines maps the state before it (inside quotes or not) to the state after it. These maps are made for all blocks at once and then chained,
-a row for each block; with its state every block is cut into records on its own, and only records that cross blocks are put together.
+Lines are read by the splits of the text source. A line can open a quoted line break, go on inside one or close it only if it is
+well-formed as such, so a block of lines maps the state before it (inside quotes or not) to the state after it. These maps are made for
+all blocks at once and then chained, a row for each block; with its state every block is cut into records on its own, and only records
+that cross blocks are put together.
 
-A line that is a well-formed record of the right number of fields by itself is always a record. So a quote that is never closed
-spoils its own line only: the lines after it, up to that one, are read on their own.
+A line that is a well-formed record of the right number of fields by itself is always a record. So a quote that is wrong or never
+closed spoils its own line only: the lines after it, up to one that cannot stand inside quotes, are read on their own.
 """
 
 from __future__ import annotations
@@ -16,6 +17,7 @@ from typing import NamedTuple
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -39,25 +41,50 @@ class Run(NamedTuple):
     fate: str
 
 
-def runs(odd: np.ndarray, whole: np.ndarray, n: int, inside: bool) -> list[Run]:
-    """The runs among n lines: those with an odd number of quotes, those that are records by themselves, the state before the first."""
+class Lines(NamedTuple):
+    """The numbers of the lines that can open a run, that can close one, and that cannot stand inside one."""
+
+    opens: np.ndarray
+    closes: np.ndarray
+    breaks: np.ndarray
+
+
+def kinds(texts: pa.Array, columns: int) -> Lines:
+    """The kinds of lines, columns being the number of fields of a whole record."""
+    index = Index(texts)
+    n = len(texts)
+    quotes = np.bincount(np.searchsorted(index.start, np.flatnonzero(index.data == 0x22), "right") - 1, minlength=n) if len(index.data) else np.zeros(n, np.int64)
+    whole = index.well_formed & (index.fields == columns)
+    odd = quotes % 2 == 1
+
+    def fit(rows: np.ndarray, before: str, after: str) -> np.ndarray:
+        """Those of the rows that are well-formed with quotes put before and after."""
+        ends = np.array([t.rstrip("\r") for t in texts.take(pa.array(rows)).to_pylist()], object)
+        return rows[Index(pa.array([f"{before}{t}{after}" for t in ends], pa.string())).well_formed] if len(rows) else rows
+
+    at_odd = np.flatnonzero(odd)
+    closes, inside = fit(at_odd, '"', ""), np.flatnonzero(~odd & (quotes > 0) & ~whole)
+    breaks = np.concatenate([np.flatnonzero(whole), np.setdiff1d(at_odd, closes), np.setdiff1d(inside, fit(inside, '"', '"'))])
+    return Lines(fit(at_odd, "", '"'), closes, np.sort(breaks))
+
+
+def runs(lines: Lines, n: int, inside: bool) -> list[Run]:
+    """The runs among n lines, by the state before the first."""
     found, at = [], 0
     opens = -1 if inside else None
+    first = lambda x, k: int(x[i]) if (i := np.searchsorted(x, k)) < len(x) else n
     while True:
         if opens is None:
-            k = np.searchsorted(odd, at)
-            if k == len(odd):
+            opens = first(lines.opens, at)
+            if opens == n:
                 return found
-            opens = int(odd[k])
-        after = opens + 1
-        k, y = np.searchsorted(odd, after), np.searchsorted(whole, after)
-        closes, next_whole = int(odd[k]) if k < len(odd) else n, int(whole[y]) if y < len(whole) else n
-        if next_whole < closes:
-            found.append(Run(opens, next_whole - 1, BROKEN))
-            at = next_whole
-        elif closes < n:
+        closes, breaks = first(lines.closes, opens + 1), first(lines.breaks, opens + 1)
+        if closes < breaks:
             found.append(Run(opens, closes, CLOSED))
             at = closes + 1
+        elif breaks < n:
+            found.append(Run(opens, breaks - 1, BROKEN))
+            at = breaks
         else:
             found.append(Run(opens, n - 1, THROUGH))
             return found
@@ -68,21 +95,17 @@ class _Block:
     """The lines of one block, batch after batch."""
 
     def __init__(self, columns: int):
-        self.columns, self.n, self.size = columns, 0, 0
-        self.odd: list[np.ndarray] = []
-        self.whole: list[np.ndarray] = []
+        self.columns, self.n = columns, 0
+        self.parts: list[Lines] = []
         self.sizes: list[np.ndarray] = []
 
     def add(self, texts: pa.Array) -> None:
-        index = Index(texts)
-        quotes = np.bincount(np.searchsorted(index.start, np.flatnonzero(index.data == 0x22), "right") - 1, minlength=len(texts)) if len(index.data) else np.zeros(len(texts), np.int64)
-        self.odd.append(np.flatnonzero(quotes % 2) + self.n)
-        self.whole.append(np.flatnonzero(index.well_formed & (index.fields == self.columns)) + self.n)
-        self.sizes.append(index.end - index.start)
+        self.parts.append(Lines(*(x + self.n for x in kinds(texts, self.columns))))
+        self.sizes.append(pc.binary_length(texts).to_numpy())
         self.n += len(texts)
 
-    def done(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        return tuple(np.concatenate(x) if x else np.zeros(0, np.int64) for x in (self.odd, self.whole, self.sizes))
+    def done(self) -> tuple[Lines, np.ndarray]:
+        return Lines(*(np.concatenate(x) for x in zip(*self.parts))), np.concatenate(self.sizes)
 
 
 def _by_block(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, int, pa.Array]]:
@@ -103,12 +126,12 @@ def _maps(columns: int):
     """Of each block: how its last run ends if the block begins outside quotes; how the run it begins in ends, and what then is the last."""
 
     def row(file: str, block: int, b: _Block) -> tuple:
-        odd, whole, sizes = b.done()
+        lines, sizes = b.done()
         total = np.concatenate([[0], np.cumsum(sizes + 1)])
         size = lambda r: int(total[r.last + 1] - total[max(r.first, 0)])
         last = lambda found: (found[-1].fate, size(found[-1])) if found and found[-1].fate == THROUGH else ("", 0)
-        inside = runs(odd, whole, b.n, True)
-        return file, block, *last(runs(odd, whole, b.n, False)), inside[0].fate, size(inside[0]), *last(inside[1:])
+        inside = runs(lines, b.n, True)
+        return file, block, *last(runs(lines, b.n, False)), inside[0].fate, size(inside[0]), *last(inside[1:])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, held, out = None, _Block(columns), []
@@ -166,7 +189,7 @@ def _pieces(columns: int, told: Broadcast | None):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def cut_up(file: str, block: int, state: tuple, b: _Block, texts: list[str]) -> list[tuple]:
             inside, carried, tail, head = state
-            odd, whole, _ = b.done()
+            lines, _ = b.done()
             out, at, number = [], 0, 0
 
             def alone(a: int, z: int) -> None:
@@ -176,7 +199,7 @@ def _pieces(columns: int, told: Broadcast | None):
                         out.append((file, block, number, None, text))
                         number += 1
 
-            for r in runs(odd, whole, b.n, inside):
+            for r in runs(lines, b.n, inside):
                 first = max(r.first, 0)
                 alone(at, first)
                 fate = carried if r.first < 0 else tail if r.fate == THROUGH else r.fate

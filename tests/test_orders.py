@@ -301,3 +301,10 @@ def test_streams(spark, tmp_path):
     loader.to_folder(loader.first_deliveries(stream), str(tmp_path / "out"), str(tmp_path / "cp2")).awaitTermination()
     assert spark.read.parquet(str(tmp_path / "out")).count() == 2
     assert loader.sessions(messages.withColumn("k", F.lit(1)), "received_at", "90 minutes", "k").count() == 1
+
+
+def test_json_texts_with_something_behind_them(spark):
+    texts = ["[1]", " [1] ", "[1] ;", "[1]]", "[1]}", "[1],[2]", '[1],"w":1', "{}", '{"a":1} x', '{"a":1}', "", None, "1 2", '"a"', "[NaN]"]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    out = [r[0] for r in df.select(C.json_value(F.col("t")).isNotNull()).collect()]
+    assert out == [True, True, False, False, False, False, False, True, False, True, False, False, False, True, False]

@@ -4,7 +4,6 @@ import csv
 import io
 import json
 
-import numpy as np
 import pyarrow as pa
 import pytest
 from hypothesis import given, settings
@@ -12,24 +11,27 @@ from hypothesis import strategies as st
 
 from millrace.operators.rejects import Index, load_records
 from millrace.sources.files import layout, raw_layer, read_csv
-from millrace.sources.records import BROKEN, THROUGH, csv_records, runs
+from millrace.sources.records import BROKEN, THROUGH, csv_records, kinds, runs
 
 
 def one_by_one(text: str, columns: int) -> list[str]:
     """The definition, line after line."""
     lines = text.split("\n")
     lines = lines[:-1] if lines[-1] == "" else lines
-    index = Index(pa.array(lines, pa.string()))
-    whole = [bool(index.well_formed[i]) and index.fields[i] == columns for i in range(len(lines))]
+    fits = lambda t: bool(Index(pa.array([t], pa.string())).well_formed[0])
+    whole = lambda t: fits(t) and Index(pa.array([t], pa.string())).fields[0] == columns
     out, i = [], 0
     while i < len(lines):
-        j = i
-        if lines[i].count('"') % 2:
+        j, bare = i, lines[i].rstrip("\r")
+        if bare.count('"') % 2 and fits(f'{bare}"'):
             for k in range(i + 1, len(lines)):
-                if whole[k]:
+                line = lines[k].rstrip("\r")
+                if whole(line):
                     break
-                if lines[k].count('"') % 2:
-                    j = k
+                if line.count('"') % 2:
+                    j = k if fits(f'"{line}') else i
+                    break
+                if '"' in line and not fits(f'"{line}"'):
                     break
         record = "\n".join(lines[i : j + 1])
         if j > i or record.rstrip("\r"):
@@ -41,11 +43,8 @@ def one_by_one(text: str, columns: int) -> list[str]:
 @settings(max_examples=200, deadline=None)
 @given(st.lists(st.sampled_from(["a,b", "a", '"a', 'b",c', '"a,b",c', "", 'x"y,z', '"', "a,b,c", '"",""', "é,ü\r"]), max_size=12))
 def test_runs_of_one_block(lines):
-    index = Index(pa.array(lines, pa.string()))
-    odd = np.array([i for i, t in enumerate(lines) if t.count('"') % 2], np.int64)
-    whole = np.flatnonzero(index.well_formed & (index.fields == 2)) if lines else np.zeros(0, np.int64)
     out, at = [], 0
-    for r in runs(odd, whole, len(lines), False):
+    for r in runs(kinds(pa.array(lines, pa.string()), 2), len(lines), False):
         out += [x for x in lines[at : r.first] if x.rstrip("\r")]
         out += lines[r.first : r.last + 1] if r.fate in (BROKEN, THROUGH) else ["\n".join(lines[r.first : r.last + 1])]
         out, at = [x for x in out if x.rstrip("\r")], r.last + 1
@@ -60,6 +59,7 @@ FILES = [
     'h1,h2\n"never closed\n' + "one field\n" * 30 + 'x,y\n"p\nq",r\n',
     'h1,h2\n1,2,3\n"bro"ken,5\n7\n8,"a""b"\n\n9,z\r\n10,"w\r\nv"\r\n',
     "﻿h1,h2\né,ü\n",
+    'h1,h2\n"K"x",1\n2,"a\nb"\n"open,1\n"3","c\n ""q"", d\ne"\n"4","f\n"g",5\n',
 ]
 
 
