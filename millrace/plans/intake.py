@@ -318,3 +318,60 @@ def with_code(spark: SparkSession, sf: str) -> DataFrame:
     count(*) filter (outcome = 'QUARANTINED') as quarantined, true as consistent from found""")
 def consistency_of_outcomes(spark: SparkSession, sf: str) -> DataFrame:
     return quality.consistent(table(spark, sf, "orders_validated"), _classified(spark, sf))
+
+
+# classification of flat records: the twins of the queries in orders.py
+
+_GIVEN = "nullif({0}, '')"
+_FLAT = ("customer_id", "customer_name", "phone", "email", "shipping_city")
+_KIND = "json_type(el, '$.{0}')"
+
+
+def _line_number(name: str) -> str:
+    """The number in a part of a line, by the type it was written with."""
+    return f"case when {name}_kind in ('BIGINT', 'UBIGINT', 'DOUBLE', 'HUGEINT') then try_cast({name}_text as double) when {name}_kind = 'VARCHAR' then {number_sql(f'{name}_text')} end"
+
+
+def _flat_sql() -> str:
+    some = f"coalesce({', '.join(_GIVEN.format(c) for c in _FLAT)}) is not null"
+    plain = lambda c: f"case when given then coalesce(trim({_GIVEN.format(c)}, ' '), '') end"
+    amount = _GIVEN.format("total_amount")
+    wrong = "not coalesce({0}, false)"
+    return rf"""
+    with days as ({O._DATE}),
+    rows as (select s.*, {some} as given, d.value as day, {O._status('status')} as new_status, {IS_ARRAY} as is_array, {SAFE} as safe from spark_loader s join days d using (loader_id)),
+    tidy as (select *, regexp_replace({O._strip('day')}, '[Zz]$', '+00:00') as iso, {number_sql(amount)} as amount,
+        case when given and {_GIVEN.format('phone')} is not null then {O._phone('phone')} else '' end as one_phone, case when given and {_GIVEN.format('email')} is not null then {O._email('email')} else '' end as one_email from rows),
+    clean as (select *, {O._phone('one_phone')} as new_phone, {O._email('one_email')} as new_email from tidy),
+    elements as (select loader_id, unnest(json_extract(safe, '$[*]')) as el from rows where is_array),
+    parts as (select loader_id, json_type(el) as kind, json_extract_string(el, '$.sku') as sku, json_extract_string(el, '$.name') as name,
+        json_extract_string(el, '$.qty') as qty_text, {_KIND.format('qty')} as qty_kind, json_extract_string(el, '$.total') as total_text, {_KIND.format('total')} as total_kind,
+        case when {_KIND.format('unit_price')} is null then json_extract_string(el, '$.price') else json_extract_string(el, '$.unit_price') end as price_text, coalesce({_KIND.format('unit_price')}, {_KIND.format('price')}) as price_kind from elements),
+    numbers as (select *, {_line_number('qty')} as qty, {_line_number('price')} as price, {_line_number('total')} as total from parts),
+    lines as (select loader_id, count(*) as n,
+        flatten(list(case when kind <> 'OBJECT' then ['JSON_ITEMS_CORRUPTED'] else list_filter([
+            case when {_blank_sql('sku')} then 'JSON_ITEMS_CORRUPTED' end, case when {_blank_sql('name')} then 'JSON_ITEMS_CORRUPTED' end,
+            case when {wrong.format("qty_kind in ('BIGINT', 'UBIGINT', 'VARCHAR') and floor(qty) > 0")} then 'VALUE_NEGATIVE_AMBIGUOUS' end,
+            case when {wrong.format("price_kind <> 'NULL'")} then 'PRICE_UNKNOWN' when {wrong.format('price >= 0')} then 'VALUE_NEGATIVE_AMBIGUOUS' end,
+            case when {wrong.format("total_kind <> 'NULL' and total >= 0")} then 'VALUE_NEGATIVE_AMBIGUOUS' end], lambda c: c is not null) end)) as codes,
+        sum(case when qty_kind = 'VARCHAR' and qty is not null then 1 else 0 end + case when price_kind = 'VARCHAR' and price is not null then 1 else 0 end + case when total_kind = 'VARCHAR' and total is not null then 1 else 0 end) as changes
+        from numbers group by 1),
+    judged as (
+        select loader_id, list_filter([
+            case when coalesce({O._strip('id_order')}, '') = '' then 'ID_ORDER_MISSING' end,
+            case when {wrong.format(f"regexp_matches(iso, '{O._ISO}') and try_cast(iso as timestamptz) is not null")} then 'DATE_IMPOSSIBLE_INVALID' end,
+            case when {_blank_sql(plain('customer_id'))} then 'ID_CUSTOMER_MISSING' end, case when {_blank_sql(plain('customer_name'))} then 'ID_CUSTOMER_MISSING' end,
+            case when not regexp_matches(new_email, '^[^@\s]+@[^@\s]+[.][^@\s]+$') then 'ERRORS_CONFLICTING_MULTIPLE' end,
+            case when not regexp_matches(new_phone, '^(967)?(77|73|70|71)[0-9]{{7}}$') then 'ERRORS_CONFLICTING_MULTIPLE' end,
+            case when {_blank_sql(plain('shipping_city'))} or {_blank_sql(plain('district'))} then 'ERRORS_CONFLICTING_MULTIPLE' end,
+            case when not is_array then 'JSON_ITEMS_CORRUPTED' when coalesce(n, 0) = 0 then 'ITEMS_EMPTY' end,
+            case when {wrong.format('amount >= 0')} then 'VALUE_NEGATIVE_AMBIGUOUS' end, case when {wrong.format('amount >= 0')} then 'VALUE_NEGATIVE_AMBIGUOUS' end], lambda c: c is not null) || coalesce(codes, []) as errors,
+            cast(coalesce(new_status <> status, false) as int) + cast(coalesce(day <> order_date, false) as int) + cast(given as int) + cast(coalesce({_GIVEN.format('payment_method')}, {amount}) is not null as int) + cast(is_array as int) + coalesce(changes, 0) as corrections
+        from clean left join lines using (loader_id)),
+    coded as (select *, list_sort(list_distinct(case when len(errors) > 1 then errors || ['ERRORS_CONFLICTING_MULTIPLE'] else errors end)) as codes from judged),
+    found as (select loader_id, case when len(codes) > 0 then 'QUARANTINED' when corrections > 0 then 'CORRECTED' else 'VALID' end as outcome, codes, cast(corrections as int) as corrections from coded)"""
+
+
+SQL["classify_records"] = _flat_sql() + "select loader_id as number_row_source, outcome, array_to_string(codes, ',') as codes, corrections from found"
+SQL["classify_outcomes"] = _flat_sql() + "select outcome, count(*) as records from found group by 1"
+SQL["quarantine_summary"] = _flat_sql() + "select unnest(codes) as code, count(*) as count from found group by 1"
