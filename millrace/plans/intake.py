@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from millrace.functions import cleaners as C
 from millrace.functions.schema import LAYOUTS
+from millrace.operators import incremental as I
 from millrace.operators import lookups, quality, reports, views
 from millrace.operators.upsert import touched, upsert
 from millrace.plans import orders as O
@@ -375,3 +376,62 @@ def _flat_sql() -> str:
 SQL["classify_records"] = _flat_sql() + "select loader_id as number_row_source, outcome, array_to_string(codes, ',') as codes, corrections from found"
 SQL["classify_outcomes"] = _flat_sql() + "select outcome, count(*) as records from found group by 1"
 SQL["quarantine_summary"] = _flat_sql() + "select unnest(codes) as code, count(*) as count from found group by 1"
+
+
+# incremental loads, runs and jobs in a store
+
+_STORED = f"with o as ({O._last_sql(O._OLD)}), mark as (select greatest('{I.EPOCH}', max({O._TIME})) as wm from orders_validated where {O._OLD} and coalesce({O._strip('id_order')}, '') <> '')"
+
+
+@query(f"""{_STORED},
+    new as (select *, {O._strip('id_order')} as key, coalesce(nullif(updated_at, ''), nullif(order_date, ''), '{I.EPOCH}') as time from orders_validated where {O._NEW}),
+    delta as (select new.* from new, mark where coalesce({O._TIME}, '{I.NEVER}') > mark.wm),
+    keyed as (select * from delta where coalesce(key, '') <> ''),
+    judged as (select * from keyed k where event_id is null or not exists (select 1 from orders_validated e where e.source_system = 'erp' and coalesce({O._strip('e.id_order')}, '') <> '' and e.event_id = k.event_id and e.event_id <> '')),
+    accepted as (select j.* from judged j left join o on j.key = o.id_order where o.id_order is null or coalesce(j.version, 1) > coalesce(o.version, 0)
+        or (coalesce(j.version, 1) = coalesce(o.version, 0) and j.time >= coalesce(nullif(o.updated_at, ''), nullif(o.order_date, ''), '{I.EPOCH}')))
+    select (select wm from mark) as watermark_used, (select count(*) from new) as read, (select count(*) from new) - (select count(*) from delta) as filtered, (select count(*) from keyed) - (select count(*) from judged) as events_skipped,
+        (select count(*) from judged) - (select count(*) from accepted) as conflicts_rejected, (select count(*) from accepted) as processed,
+        (select count(distinct key) from accepted) - (select count(distinct key) from accepted a join o on a.key = o.id_order) as inserted,
+        (select greatest((select wm from mark), coalesce(max({O._TIME}), '')) from judged) as new_watermark""")
+def delta_counters(spark: SparkSession, sf: str) -> DataFrame:
+    """The counters of an incremental load after an initial one."""
+    store, both = Warehouse(spark, _folder(spark, "store")), table(spark, sf, "orders_validated").withColumn("_row", F.col("record_id"))
+    I.initial_load(store, both.where(O._OLD), "2030-01-01T00:00:00Z")
+    done = I.process_delta(store, both.where(O._NEW), "2030-01-01T00:00:00Z")
+    names = {"watermark_used": "watermark_used", "delta_records_read": "read", "filtered_by_watermark": "filtered", "events_skipped": "events_skipped", "conflicts_rejected": "conflicts_rejected", "processed_count": "processed", "inserted": "inserted", "new_watermark": "new_watermark"}
+    return spark.createDataFrame([tuple(done[k] for k in names)], "watermark_used string, read long, filtered long, events_skipped long, conflicts_rejected long, processed long, inserted long, new_watermark string").toDF(*names.values())
+
+
+def _jobs(spark: SparkSession, sf: str) -> DataFrame:
+    start = F.lpad(F.col("event_id").cast("string"), 12, "0")
+    return table(spark, sf, "events").select(F.col("event_type").alias("job"), F.lit("manual").alias("trigger"), F.when(F.col("value") > 50, "FAILED").otherwise("SUCCESS").alias("status"), start.alias("start_time"), F.col("value").alias("seconds"), F.lit("").alias("message"))
+
+
+_JOBS = "select event_type as job, case when value > 50 then 'FAILED' else 'SUCCESS' end as status, lpad(cast(event_id as varchar), 12, '0') as start_time, value as seconds from events"
+
+
+@query(f"select job, max(start_time) as start_time, arg_max(status, start_time) as status, arg_max(seconds, start_time) as seconds from ({_JOBS}) group by 1")
+def last_job_runs(spark: SparkSession, sf: str) -> DataFrame:
+    """The last run of each job."""
+    return pipeline.last_runs(_jobs(spark, sf))
+
+
+@query(f"select job, status, start_time, seconds from ({_JOBS}) where job = (select min(event_type) from events) order by start_time desc, job limit 20")
+def job_log_page(spark: SparkSession, sf: str) -> DataFrame:
+    """The newest entries of a job in the log of a store."""
+    store, jobs = Warehouse(spark, _folder(spark, "store")), _jobs(spark, sf)
+    store.commit(append={"job_log": jobs.where("status = 'FAILED'")})
+    store.commit(append={"job_log": jobs.where("status <> 'FAILED'")})
+    return pipeline.job_log(store, jobs.agg(F.min("job")).first()[0]).select("job", "status", "start_time", "seconds")
+
+
+@query("""with runs as (select user_id as id_run, count(*) as read_rows, case when user_id % 3 <> 0 then count(*) / 2.0 end as seconds, case when user_id % 5 = 0 then 9.0 else 2.0 end as rows_per_second, user_id % 7 <> 0 as consistent from events where user_id is not null group by 1)
+    select cast(id_run as varchar) as id_run, unnest(list_filter([case when seconds is null then 'missing figure' end, case when not consistent then 'inconsistent counts' end, case when abs(rows_per_second - read_rows / seconds) > 0.05 * rows_per_second then 'throughput does not fit' end], lambda x: x is not null)) as issue from runs""")
+def audited_runs(spark: SparkSession, sf: str) -> DataFrame:
+    """What does not fit in the figures of runs."""
+    run = F.col("user_id")
+    rows = table(spark, sf, "events").where("user_id is not null").groupBy("user_id").agg(F.count("*").alias("read_rows"))
+    seconds = F.when(run % 3 != 0, F.col("read_rows") / 2.0)
+    runs = rows.select(run.cast("string").alias("id_run"), "read_rows", seconds.alias("seconds"), F.when(run % 5 == 0, 9.0).otherwise(2.0).alias("rows_per_second"), (run % 7 != 0).alias("consistent"))
+    return pipeline.audit_runs(runs)
