@@ -68,6 +68,13 @@ def search(df: DataFrame, term: str, *columns: str) -> DataFrame:
     return df.where(hit)
 
 
+def sample(df: DataFrame, given: dict[str, object] | None = None, limit: int = 10) -> DataFrame:
+    """The first rows, by key, of which the given fields (paths) have the given values; null asks for a missing one."""
+    for path, value in (given or {}).items():
+        df = df.where(F.col(path).isNull() if value is None else F.col(path) == value)
+    return page(df, limit, 0)
+
+
 def with_code(df: DataFrame, code: str) -> DataFrame:
     """Quarantined rows that carry an error code."""
     return df.where(F.array_contains("codes_error", code))

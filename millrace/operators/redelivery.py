@@ -7,8 +7,9 @@
 4. The others, possible repeats, are stored by bucket and compared exactly: deliveries of an identifier are folded before the shuffle to the one
    that stays, and what is not among those is dropped, by its own row, so a hot identifier is no hot task.
 
-The filters hold about 200 million deliveries at a matrix of 256 MB. Beyond, they screen less and less, and from the point on where most
-would pass anyway they are left out: the exact comparison then takes all deliveries, folded before the shuffle in the same way.
+The matrix has at most 64 MB, which every task builds and gets in two planes. Above about 20 million deliveries it screens less and less,
+and above about 160 million, where most would pass anyway, it is left out: the exact comparison then takes all deliveries, folded before the
+shuffle in the same way.
 """
 
 from __future__ import annotations
@@ -29,7 +30,7 @@ BUCKETS = 64
 #: Hash functions, and bits of a bucket's filter for each of its deliveries.
 HASHES, BITS = 4, 24
 #: Words of the largest filter matrix (8 bytes each), and of a chunk in which it is merged.
-MOST_WORDS, CHUNK = 1 << 25, 1 << 13
+MOST_WORDS, CHUNK = 1 << 23, 1 << 13
 #: Share of set bits in a bucket's filter from which on it tells nothing.
 FULL = 0.7
 #: Deliveries without an arrival time come after all others.

@@ -156,9 +156,11 @@ def audit_runs(runs: DataFrame, tolerance: float = 0.05) -> DataFrame:
 
 
 def periodic_report(store: Warehouse) -> dict:
-    """The key figures of the validated orders as plain values."""
+    """The key figures of the validated orders as plain values, which are also written beside the store's tables."""
     row = reports.key_figures(store.read("orders_validated", ORDER)).first()
-    return json.loads(json.dumps(row.asDict(True), ensure_ascii=False, default=str))
+    found = json.loads(json.dumps(row.asDict(True), ensure_ascii=False, default=str))
+    store.write_json("periodic_report", found)
+    return found
 
 
 def compact_all(store: Warehouse) -> dict[str, int]:
@@ -198,6 +200,11 @@ def job_log(store: Warehouse, name: str | None = None, limit: int = 20) -> DataF
     return (rows.where(F.col("job") == name) if name else rows).orderBy(F.desc("start_time"), "job").limit(limit)
 
 
+def write_job_log(store: Warehouse, most: int = 500) -> str:
+    """The newest entries of the job log as a JSON file; its path."""
+    return store.write_json("job_log", [r.asDict() for r in job_log(store, limit=most).collect()])
+
+
 def last_runs(log: DataFrame) -> DataFrame:
     """The last run of each job."""
     return log.groupBy("job").agg(F.max_by(F.struct("status", "seconds"), "start_time").alias("last"), F.max("start_time").alias("start_time")).select("job", "start_time", "last.*")

@@ -75,7 +75,7 @@ def test_filters_never_miss(words):
         assert maybe[n[at] == 1].mean() < 0.01
 
 
-@pytest.mark.parametrize("most", [1 << 6, 1 << 9, 1 << 25])
+@pytest.mark.parametrize("most", [1 << 6, 1 << 9, 1 << 23])
 def test_any_size_of_the_filters(spark, monkeypatch, most):
     monkeypatch.setattr(redelivery, "MOST_WORDS", most)
     rnd = random.Random(6)
