@@ -8,14 +8,14 @@ from pyspark.sql import functions as F
 
 def check_page(limit: int, skip: int) -> None:
     if not isinstance(limit, int) or isinstance(limit, bool) or limit <= 0:
-        raise ValueError("limit must be a positive integer")
+        raise ValueError("limit: a whole number from 1 on is needed")
     if not isinstance(skip, int) or isinstance(skip, bool) or skip < 0:
-        raise ValueError("skip must be a non-negative integer")
+        raise ValueError("skip: a whole number from 0 on is needed")
 
 
 def _text(name: str, value: str) -> str:
     if not isinstance(value, str) or not value.strip():
-        raise ValueError(f"{name} must be a non-blank string")
+        raise ValueError(f"{name}: a text is needed")
     return value.strip()
 
 
@@ -42,7 +42,7 @@ def orders_by_date_range(df: DataFrame, start_date: str, end_date: str, limit: i
     """A closed range of the date text, compared as text: an end without a time leaves out that day's later times."""
     start, end = _text("start_date", start_date), _text("end_date", end_date)
     if start > end:
-        raise ValueError("start_date cannot be greater than end_date")
+        raise ValueError("start_date is after end_date")
     return page(df.where(F.col("order_date").between(start, end)), limit, skip, F.asc("order_date"))
 
 
@@ -50,9 +50,9 @@ def high_value_orders(df: DataFrame, min_amount: float, limit: int = 50, skip: i
     try:
         least = float(min_amount)
     except (TypeError, ValueError):
-        raise ValueError("min_amount must be a number") from None
+        raise ValueError("min_amount: a number is needed") from None
     if least < 0:
-        raise ValueError("min_amount cannot be negative")
+        raise ValueError("min_amount is below 0")
     return page(df.where(F.col("total_amount") >= least), limit, skip, F.desc("total_amount"))
 
 

@@ -12,9 +12,9 @@ def _positive(name: str, value, default: int) -> int:
     try:
         number = int(value)
     except (TypeError, ValueError):
-        raise ValueError(f"{name} must be an integer") from None
+        raise ValueError(f"{name}: a whole number is needed") from None
     if number <= 0:
-        raise ValueError(f"{name} must be greater than 0")
+        raise ValueError(f"{name}: a number above 0 is needed")
     return number
 
 
@@ -50,9 +50,9 @@ def top_customers(df: DataFrame, limit: int = 10, min_spend: float = 0.0) -> Dat
     try:
         least = float(min_spend if min_spend is not None else 0.0)
     except (TypeError, ValueError):
-        raise ValueError("min_spend must be a number") from None
+        raise ValueError("min_spend: a number is needed") from None
     if least < 0:
-        raise ValueError("min_spend cannot be negative")
+        raise ValueError("min_spend is below 0")
     customer = F.col("customer.customer_id")
     rows = df.where(customer.isNotNull() & ~customer.isin("", "null")).groupBy(customer.alias("customer_id")).agg(
         F.min("customer.name").alias("customer_name"), total("total_amount").alias("total_spend"), F.count("*").alias("total_orders"), F.avg("total_amount").alias("avg_order_spend"), F.max("order_date").alias("last_order_date")
@@ -64,9 +64,9 @@ def sales_by_period(df: DataFrame, period: str = "daily", start_date: str | None
     """By day or month of the date text. A bound replaces the test that a date is given."""
     limit = _positive("limit", limit, 30)
     if period not in ("daily", "monthly"):
-        raise ValueError("period must be daily or monthly")
+        raise ValueError("period: daily or monthly")
     if start_date and end_date and start_date > end_date:
-        raise ValueError("start_date cannot be greater than end_date")
+        raise ValueError("start_date is after end_date")
     when = F.col("order_date")
     keep = when.isNotNull() & (when != "")
     if start_date or end_date:

@@ -169,9 +169,9 @@ def key_figures(spark: SparkSession, sf: str) -> DataFrame:
     return found.select("total_orders", city.alias("first_city"), F.size("statuses").cast("long").alias("statuses"))
 
 
-@query("with hits as materialized (select * from orders_validated where status = 'ملغي' and payment is null) select record_id from hits order by id_order nulls first, record_id limit 15")
+@query("with hits as materialized (select * from orders_validated where status = 'ملغي' and customer.email is null) select record_id from hits order by id_order nulls first, record_id limit 15")
 def filtered_sample(spark: SparkSession, sf: str) -> DataFrame:
-    return lookups.sample(table(spark, sf, "orders_validated"), {"status": "ملغي", "payment": None}, 15).select("record_id")
+    return lookups.sample(table(spark, sf, "orders_validated"), {"status": "ملغي", "customer.email": None}, 15).select("record_id")
 
 
 # cleaners

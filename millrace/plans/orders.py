@@ -10,7 +10,7 @@ from millrace.functions.schema import LAYOUTS
 from millrace.operators import incremental as I
 from millrace.operators import lookups, quality, reports, views
 from millrace.operators.upsert import keep_last, upsert
-from millrace.session import spread, table
+from millrace.session import small, spread, table
 from millrace.sources.files import raw_layer
 from millrace.streaming.loader import windowed
 
@@ -97,7 +97,7 @@ def orders_by_status(spark: SparkSession, sf: str) -> DataFrame:
     select r_name as region, n_name as city, round_even(sum(o_totalprice), 2) as total_revenue, count(*) as total_orders, round_even(avg(o_totalprice), 2) as avg_order_value from orders_at group by 1, 2""")
 def sales_by_nation(spark: SparkSession, sf: str) -> DataFrame:
     nations = table(spark, sf, "nation").join(table(spark, sf, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
-    rows = table(spark, sf, "orders").join(table(spark, sf, "customer"), F.col("o_custkey") == F.col("c_custkey")).join(F.broadcast(nations), F.col("c_nationkey") == F.col("n_nationkey"))
+    rows = table(spark, sf, "orders").join(table(spark, sf, "customer"), F.col("o_custkey") == F.col("c_custkey")).join(small(nations), F.col("c_nationkey") == F.col("n_nationkey"))
     found = rows.groupBy(F.col("r_name").alias("region"), F.col("n_name").alias("city")).agg(F.sum("o_totalprice").alias("total_revenue"), F.count("*").alias("total_orders"), F.avg("o_totalprice").alias("avg_order_value"))
     return found.withColumns({c: reports.cents(c) for c in ("total_revenue", "avg_order_value")})
 
