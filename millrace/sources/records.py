@@ -183,57 +183,55 @@ def _chained(longest: int):
     return run
 
 
+def _cut_up(file: str, block: int, state: tuple, lines: Lines, texts: pa.Array) -> pa.RecordBatch:
+    """(file, block, ord, head, value) of a block: the records that begin in it, numbered, and the end of the one that began before it."""
+    inside, carried, tail, head = state
+    n = len(texts)
+    begins = pc.binary_length(pc.utf8_rtrim(texts, characters="\r")).to_numpy() > 0  # blank lines are no records
+    longer: list[tuple[int, str, int | None]] = []  # of records of several lines: the first line, the text, the block if it goes on in the next
+    end: list[str] = []
+    for r in runs(lines, n, inside):
+        first = max(r.first, 0)
+        if (carried if r.first < 0 else tail if r.fate == THROUGH else r.fate) == BROKEN:
+            continue
+        text = "\n".join(texts.slice(first, r.last + 1 - first).to_pylist())
+        begins[first : r.last + 1] = False
+        if r.first < 0:
+            end = [text]
+        else:
+            begins[first] = True
+            longer.append((first, text, block if r.fate == THROUGH else None))
+    at = np.flatnonzero(begins)
+    values, heads = texts.take(pa.array(at)), np.full(len(at), -1)
+    if longer:
+        place = np.searchsorted(at, [x[0] for x in longer])
+        mask = np.zeros(len(at), bool)
+        mask[place] = True
+        values = pc.replace_with_mask(values, pa.array(mask), pa.array([x[1] for x in longer], values.type))
+        heads[place] = [-1 if x[2] is None else x[2] for x in longer]
+    heads = np.concatenate([heads, np.full(len(end), head)])
+    out = [pa.array([file] * len(heads), pa.string()), pa.array(np.full(len(heads), block)), pa.array(np.concatenate([np.arange(len(at)), np.full(len(end), -1)])), pa.array(heads, mask=heads < 0), pa.concat_arrays([values.cast(pa.string()), pa.array(end, pa.string())])]
+    return pa.RecordBatch.from_arrays(out, names=["file", "block", "ord", "head", "value"])
+
+
 def _pieces(columns: int, told: Broadcast | None):
     """The records that begin in each block, and the pieces of those that cross blocks: (file, block, ord, head, value)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def cut_up(file: str, block: int, state: tuple, b: _Block, texts: list[str]) -> list[tuple]:
-            inside, carried, tail, head = state
-            lines, _ = b.done()
-            out, at, number = [], 0, 0
-
-            def alone(a: int, z: int) -> None:
-                nonlocal number
-                for text in texts[a:z]:
-                    if text.rstrip("\r"):
-                        out.append((file, block, number, None, text))
-                        number += 1
-
-            for r in runs(lines, b.n, inside):
-                first = max(r.first, 0)
-                alone(at, first)
-                fate = carried if r.first < 0 else tail if r.fate == THROUGH else r.fate
-                if fate == BROKEN:
-                    alone(first, r.last + 1)
-                elif r.first < 0:  # the end of a record that began in block head
-                    out.append((file, block, -1, head, "\n".join(texts[: r.last + 1])))
-                else:
-                    out.append((file, block, number, block if r.fate == THROUGH else None, "\n".join(texts[first : r.last + 1])))
-                    number += 1
-                at = r.last + 1
-            alone(at, b.n)
-            return out
-
-        def batch_of(rows: list[tuple]) -> pa.RecordBatch:
-            kinds = (pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.string())
-            return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], names=["file", "block", "ord", "head", "value"])
-
-        states = told.value if told is not None else None
         now, held, texts, state = None, _Block(columns), [], None
         for batch in batches:
-            given = None if states is not None or not batch.num_rows else batch.select(["inside", "carried", "tail", "head"]).slice(0).to_pylist()
             place = 0
             for file, block, part in _by_block(iter([batch])):
                 if now is not None and now != (file, block):
-                    yield batch_of(cut_up(*now, state, held, texts))
+                    yield _cut_up(*now, state, held.done()[0], pa.concat_arrays(texts))
                     held, texts = _Block(columns), []
                 now = (file, block)
-                state = states[now] if states is not None else tuple(given[place].values())
+                state = told.value[now] if told is not None else tuple(batch.column(c)[place].as_py() for c in ("inside", "carried", "tail", "head"))
                 place += len(part)
                 held.add(part)
-                texts += part.to_pylist()
+                texts.append(part)
         if now is not None:
-            yield batch_of(cut_up(*now, state, held, texts))
+            yield _cut_up(*now, state, held.done()[0], pa.concat_arrays(texts))
 
     return run
 
