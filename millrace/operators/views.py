@@ -65,14 +65,14 @@ def refresh(store: Warehouse, name: str, now: str, full: bool = False, table: st
     """Bring a view up to date and say how: mode, status, number of affected keys, watermark."""
     if name not in VIEWS:
         raise ValueError(f"unknown view: {name}")
-    key, mark, tracks = VIEWS[name], f"view:{name}", f"view_keys_{VIEWS[name]}"
+    key, mark, tracks, base = VIEWS[name], f"view:{name}", f"view_keys_{VIEWS[name]}", store.number
     orders = store.read(table, ORDER)
     since = store.state.get(mark)
     build = daily_sales if key == "date" else product_sales
     latest = orders.agg(F.max(F.coalesce(F.nullif("updated_at", F.lit("")), "order_date"))).first()[0]
     if full or since is None or not store.has(name) or store.read(name).isEmpty():
         view = build(orders).withColumn("last_refreshed_at", F.lit(now))
-        store.commit({name: view, tracks: _keys(orders)}, {mark: latest})
+        store.commit({name: view, tracks: _keys(orders)}, {mark: latest}, base=base)
         return {"view": name, "mode": "full", "status": "refreshed", "affected": store.read(name).count(), "watermark": latest}
     delta = cut(changed(orders, since).select("id_order", "order_date", "items", "updated_at"))
     tracker = store.read(tracks, TRACKER)
@@ -85,7 +85,7 @@ def refresh(store: Warehouse, name: str, now: str, full: bool = False, table: st
     view = view.withColumn("last_refreshed_at", F.when(F.col("_new"), F.lit(now)).otherwise(F.col("_was"))).drop("_was", "_new")
     moved = tracker.join(delta.select("id_order"), "id_order", "left_anti").unionByName(_keys(delta))
     new = max(since, delta.agg(F.max(F.greatest(F.coalesce("updated_at", "order_date"), F.coalesce("order_date", "updated_at")))).first()[0] or since)
-    store.commit({name: view, tracks: moved}, {mark: new})
+    store.commit({name: view, tracks: moved}, {mark: new}, base=base)
     return {"view": name, "mode": "incremental", "status": "refreshed", "affected": n, "watermark": new}
 
 
