@@ -44,6 +44,11 @@ def p5_loaded(spark: SparkSession, sf_dir: str) -> DataFrame:
     return both.select("src", "row_id", *ORDER_FIELDS)
 
 
+def p5_structure(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rows of p5_found whose structure is at fault, not an amount."""
+    return p5_found(spark, sf_dir).where("reason <> 'amount'")
+
+
 def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nodes(table(spark, sf_dir, "spark_loader"), payload=False).select("loader_id", "parent_path", "node_path")
 
@@ -53,6 +58,11 @@ def p6_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nodes(table(spark, sf_dir, "spark_loader"))
 
 
+def p6_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The numbers of nodes of each table and kind: objects, single objects, plain values, empty arrays."""
+    return nodes(table(spark, sf_dir, "spark_loader")).groupBy("tag", "kind").agg(F.count("*").alias("nodes"))
+
+
 def _amounts(spark: SparkSession, sf_dir: str) -> DataFrame:
     currencies = table(spark, sf_dir, "ref_currency")
     one = in_hundredths(table(spark, sf_dir, "test_duplicate_orders"), currencies, "delivery_id", channels=table(spark, sf_dir, "channels"))
@@ -70,7 +80,7 @@ def p7_scales(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identity_scales(table(spark, sf_dir, "spark_loader"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p4_found, p5_found, p5_loaded, p6_found, p6_tables, p7_found, p7_scales)}
+QUERIES = {f.__name__: f for f in (p1_found, p4_found, p5_found, p5_structure, p5_loaded, p6_found, p6_tables, p6_kinds, p7_found, p7_scales)}
 
 _EDGE = r"[\p{Z}\p{Cc}\p{Cf}]+"
 #: Whether items is the text of a JSON array. DuckDB also takes a comma before a closing bracket and NaN, which RFC 8259 does not.
@@ -78,7 +88,32 @@ BARE = r"""regexp_replace(items, '"(\\.|[^"\\])*"', '""', 'g')"""
 SAFE = "case when json_valid(items) then items else 'null' end"
 IS_ARRAY = rf"""(json_valid(items) and json_type({SAFE}) = 'ARRAY' and not regexp_matches({BARE}, ',\s*[\]}}]')
         and not regexp_matches(regexp_replace({BARE}, 'true|false|null|[0-9][eE]', '', 'g'), '[A-Za-z/]'))"""
+_FIELD = r"""(?s)(?:"(?:[^"]|"")*"|[^",\r\n]*)"""
 SQL = {
+    "p5_structure": rf"""
+        with ended as (select raw_id, coalesce(line_text, '') as t from raw_lines),
+        bare as (select raw_id, case when ends_with(t, chr(10)) then t[:-2] else t end as t from ended),
+        lines as (select raw_id, case when ends_with(t, chr(13)) then t[:-2] else t end as t from bare),
+        cut as (select raw_id, regexp_full_match(t, '{_FIELD}(?:,{_FIELD})*') as fits, regexp_extract_all(',' || t, ',({_FIELD})', 1) as fields from lines),
+        texts as (select raw_id, fits, len(fields) as n, case when starts_with(fields[10], '"') then replace(fields[10][2:-2], '""', '"') else fields[10] end as items from cut),
+        told as (
+            select raw_id, case when not fits then 'quoting' when n <> 16 then 'column_count'
+                when regexp_replace(items, '^{_EDGE}|{_EDGE}$', '', 'g') <> '' and not {IS_ARRAY} then 'items_json' end as reason from texts)
+        select 'raw_lines' as src, raw_id as row_id, reason from told where reason is not null
+        union all select 'spark_loader', loader_id, 'items_json' from spark_loader where regexp_replace(items, '^{_EDGE}|{_EDGE}$', '', 'g') <> '' and not {IS_ARRAY}""",
+    "p6_kinds": rf"""
+        with recursive texts as (
+            select loader_id, ({SAFE})::json as v from spark_loader where regexp_replace(items, '^{_EDGE}|{_EDGE}$', '', 'g') <> '' and {IS_ARRAY}),
+        lists as (select distinct t.key as k from texts, json_tree(texts.v) t where t.type = 'ARRAY' and t.key is not null and t.fullkey not like '%]'),
+        walk as (
+            select v, 'ARRAY' as type, 'items' as tag, case when json_array_length(v) = 0 then 'empty' end as kind from texts
+            union all
+            select c.value, c.type, case when w.type = 'ARRAY' then w.tag else w.tag || '.' || c.key end,
+                   case when c.type = 'ARRAY' then case when json_array_length(c.value) = 0 then 'empty' end
+                        when w.type = 'ARRAY' then case when c.type = 'OBJECT' then 'object' else 'value' end
+                        when c.key in (select k from lists) then 'single' end
+            from walk w, json_each(w.v) c where w.type in ('ARRAY', 'OBJECT') and (w.type = 'ARRAY' or c.type in ('ARRAY', 'OBJECT')))
+        select tag, kind, count(*) as nodes from walk where kind is not null group by 1, 2""",
     "p6_found": rf"""
         with recursive texts as (
             select loader_id, ({SAFE})::json as v from spark_loader where regexp_replace(items, '^{_EDGE}|{_EDGE}$', '', 'g') <> '' and {IS_ARRAY}),
