@@ -21,6 +21,16 @@ def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return utc_instants(table(spark, sf_dir, "test_duplicate_orders"), table(spark, sf_dir, "channels"))
 
 
+#: ISO 8601 with seconds and a zone.
+_ZONED = "^[0-9]{4}-[0-9]{2}-[0-9]{2}T([01][0-9]|2[0-3]):[0-5][0-9]:[0-5][0-9]([.][0-9]{1,6})?(Z|[+-][01][0-9]:[0-5][0-9])$"
+
+
+def p4_zoned(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The instants of p4_found that are written in ISO 8601 with a zone."""
+    rows = table(spark, sf_dir, "test_duplicate_orders").where(F.col("order_date").rlike(_ZONED))
+    return utc_instants(rows, table(spark, sf_dir, "channels"))
+
+
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     parts = [
         ("spark_loader", rejected(table(spark, sf_dir, "spark_loader"), "loader_id", "items", "items_json")),
@@ -75,12 +85,22 @@ def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _amounts(spark, sf_dir).where("yer_hundredths is not null").select("src", "row_id", "yer_hundredths")
 
 
+_PLAIN = "^[0-9]{1,12}([.][0-9]{1,6})?$"
+
+
+def p7_plain(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The amounts of p7_found that are plain figures with a currency's code."""
+    currencies = table(spark, sf_dir, "ref_currency")
+    rows = table(spark, sf_dir, "spark_loader").where(F.col("total_amount").rlike(_PLAIN) & F.col("currency").rlike("^[A-Z]{3}$"))
+    return in_hundredths(rows, currencies, "loader_id", currency="currency").where("yer_hundredths is not null").select("loader_id", "yer_hundredths")
+
+
 def p7_scales(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The scale of each order's amount by the identity amount = lines + delivery, with its residual and whether it is the only one."""
     return identity_scales(table(spark, sf_dir, "spark_loader"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p4_found, p5_found, p5_structure, p5_loaded, p6_found, p6_tables, p6_kinds, p7_found, p7_scales)}
+QUERIES = {f.__name__: f for f in (p1_found, p4_found, p4_zoned, p5_found, p5_structure, p5_loaded, p6_found, p6_tables, p6_kinds, p7_found, p7_plain, p7_scales)}
 
 _EDGE = r"[\p{Z}\p{Cc}\p{Cf}]+"
 #: Whether items is the text of a JSON array. DuckDB also takes a comma before a closing bracket and NaN, which RFC 8259 does not.
@@ -90,6 +110,12 @@ IS_ARRAY = rf"""(json_valid(items) and json_type({SAFE}) = 'ARRAY' and not regex
         and not regexp_matches(regexp_replace({BARE}, 'true|false|null|[0-9][eE]', '', 'g'), '[A-Za-z/]'))"""
 _FIELD = r"""(?s)(?:"(?:[^"]|"")*"|[^",\r\n]*)"""
 SQL = {
+    "p4_zoned": f"""
+        select delivery_id, epoch_us(try_cast(order_date as timestamptz)) as utc_us from test_duplicate_orders
+        where regexp_matches(order_date, '{_ZONED}') and try_cast(order_date as timestamptz) is not null""",
+    "p7_plain": f"""
+        select loader_id, cast(total_amount::decimal(20, 6) * yer_per_unit * 100 as bigint) as yer_hundredths from spark_loader join ref_currency on currency = currency_code
+        where regexp_matches(total_amount, '{_PLAIN}') and (total_amount::decimal(20, 6) * yer_per_unit * 100) % 1 = 0""",
     "p5_structure": rf"""
         with ended as (select raw_id, coalesce(line_text, '') as t from raw_lines),
         bare as (select raw_id, case when ends_with(t, chr(10)) then t[:-2] else t end as t from ended),
