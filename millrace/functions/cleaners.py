@@ -138,8 +138,8 @@ def json_value(col: Column) -> Column:
 
     What stands behind a value can fit behind it in an object or in an array, but never in both.
     """
-    alone = F.try_parse_json(F.concat(F.lit('{"v":'), col, F.lit("}"))).isNotNull() & F.try_parse_json(F.concat(F.lit("["), col, F.lit("]"))).isNotNull()
-    return F.when(alone, F.try_parse_json(col))
+    inside = F.try_variant_get(F.try_parse_json(F.concat(F.lit('{"v":'), col, F.lit("}"))), "$.v", "variant")
+    return F.when(F.try_parse_json(F.concat(F.lit("["), col, F.lit("]"))).isNotNull(), inside)
 
 
 def content_key(id_order: Column, columns: Sequence[str]) -> Column:
