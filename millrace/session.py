@@ -23,6 +23,7 @@ def session(app: str = "millrace", master: str | None = None, **conf: str) -> Sp
         "spark.sql.adaptive.enabled": "true",
         "spark.sql.adaptive.skewJoin.enabled": "true",
         "spark.sql.execution.arrow.pyspark.enabled": "true",
+        "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
         "spark.ui.showConsoleProgress": "false",
     } | {k.replace("__", "."): v for k, v in conf.items()}
     for key, value in settings.items():
