@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from millrace.functions.schema import ORDER
 from millrace.operators import reports, views
 from millrace.operators.quality import classify
-from millrace.operators.upsert import touched, upsert
+from millrace.operators.upsert import Upsert, touched, upsert
 from millrace.plans import layout
 from millrace.session import cut, spread
 from millrace.sources import checkpoints as CP
@@ -124,11 +124,17 @@ def _ingest(spark: SparkSession, store: Warehouse, found: Route, now: str, allow
     out["seconds"] = round(time.time() - began, 3)
     out["rows_per_second"] = round(rows / max(out["seconds"], 1e-9), 2)
     out |= {"batch_rows": batch_rows, "batches": batches, "partitions": classified.rdd.getNumPartitions(), "resumed_from": start, "codes": code_counts(classified)}
-    changed = done.merged.where("_action in ('inserted', 'updated')").drop("_action")
-    store.commit(upsert={"orders_validated": (changed, "id_order")}, append={"quarantine_orders": quarantine_rows(classified, now), "runs": spark.createDataFrame([out], RUNS)}, tags={"quarantine_orders": found.id_run, "runs": found.id_run}, base=base)
+    store.commit(upsert=_changes(store, done, out), append={"quarantine_orders": quarantine_rows(classified, now), "runs": spark.createDataFrame([out], RUNS)}, tags={"quarantine_orders": found.id_run, "runs": found.id_run}, base=base)
     return out
 
 
+def _changes(store: Warehouse, done: Upsert, counts: dict) -> dict[str, tuple[DataFrame, str]]:
+    """What an upsert has to write: the rows that changed, nothing if there are none."""
+    if store.has("orders_validated") and not counts["inserted"] + counts["updated"]:
+        return {}
+    return {"orders_validated": (done.merged.where("_action in ('inserted', 'updated')").drop("_action"), "id_order")}
+
+
 def revalidate(store: Warehouse, now: str | None = None, allowed: dict | None = None) -> dict:
     """Classify the quarantine again: what is good now is upserted and leaves it, the rest stays with its new codes."""
     now, base = now or utc_now(), store.number
@@ -140,8 +146,7 @@ def revalidate(store: Warehouse, now: str | None = None, allowed: dict | None =
     bad = quarantine_rows(again, now).drop("quarantined_at").join(held.select("quarantine_key", "quarantined_at"), "quarantine_key").select(*held.columns)
     out = {"total_examined": held.count(), "recovered_count": again.where("outcome <> 'QUARANTINED'").count(), "remaining_quarantine": bad.count(), **done.counts()}
     if out["recovered_count"]:
-        changed = done.merged.where("_action in ('inserted', 'updated')").drop("_action")
-        store.commit({"quarantine_orders": bad}, upsert={"orders_validated": (changed, "id_order")}, base=base)
+        store.commit({"quarantine_orders": bad}, upsert=_changes(store, done, out), base=base)
     return out
 
 
