@@ -113,13 +113,14 @@ def hundredths(text: str | None, said: str | None, table: dict, bare: tuple[str,
     return (int(value), how) if value.denominator == 1 and abs(value) < 2**63 else (None, "inexact")
 
 
-def in_hundredths(df: DataFrame, currencies: DataFrame, row_id: str, amount: str = "total_amount", currency: str | None = None, channels: DataFrame | None = None, channel: str = "channel") -> DataFrame:
-    """(row_id, yer_hundredths, how) of every row. The unit comes from the column currency or, without one, from the amount's text and else the channel.
+def in_hundredths(df: DataFrame, currencies: DataFrame, row_id: str, amount: str = "total_amount", currency: str | None = None, channels: DataFrame | None = None, channel: str = "channel", keep: Sequence[str] = ()) -> DataFrame:
+    """(row_id, yer_hundredths, how) of every row, and the columns keep as they are. The unit comes from the column currency or, without one, from the amount's text and else the channel.
 
     Null or blank amounts, unreadable ones, unknown or ambiguous units give a null with the reason. Empty tables give empty results.
     """
     table = unit_table(small_rows(currencies))
-    rows = df.select(F.col(row_id).cast("long").alias("row"), F.col(amount).cast("string").alias("text"), (F.col(currency) if currency else F.lit(None)).cast("string").alias("said"), (F.col(channel) if channels is not None else F.lit(None)).cast("string").alias("_at"))
+    kept = {f"kept_{n}": name for n, name in enumerate(keep)}
+    rows = df.select(F.col(row_id).cast("long").alias("row"), F.col(amount).cast("string").alias("text"), (F.col(currency) if currency else F.lit(None)).cast("string").alias("said"), (F.col(channel) if channels is not None else F.lit(None)).cast("string").alias("_at"), *[F.col(name).alias(at) for at, name in kept.items()])
     if channels is not None:
         rules = channels.select(F.col("channel").alias("_channel"), F.col("currency_code").alias("code"), F.col("amount_scale").cast("string").alias("scale")).dropDuplicates(["_channel"])
         rows = rows.join(small(rules), F.col("_at") == F.col("_channel"), "left").drop("_channel")
@@ -139,9 +140,10 @@ def in_hundredths(df: DataFrame, currencies: DataFrame, row_id: str, amount: str
                         units[at] = (own[0][0], own[0][1] * Fraction(scale)) if len(own) == 1 else None
                     bare = units[at]
                 out.append(hundredths(text, said, table, bare, currency is not None))
-            yield pa.RecordBatch.from_arrays([batch.column("row"), pa.array([v for v, _ in out], pa.int64()), pa.array([h for _, h in out], pa.string())], names=["row", "yer_hundredths", "how"])
+            yield pa.RecordBatch.from_arrays([batch.column("row"), pa.array([v for v, _ in out], pa.int64()), pa.array([h for _, h in out], pa.string()), *map(batch.column, kept)], names=["row", "yer_hundredths", "how", *kept])
 
-    return rows.select("row", "text", "said", "code", "scale").mapInArrow(convert, "row long, yer_hundredths long, how string").withColumnRenamed("row", row_id)
+    schema = ", ".join(["row long, yer_hundredths long, how string", *[f"{at} {rows.schema[at].dataType.simpleString()}" for at in kept]])
+    return rows.select("row", "text", "said", "code", "scale", *kept).mapInArrow(convert, schema).withColumnsRenamed({"row": row_id} | kept)
 
 
 #: What a recorded number may have to be multiplied by to be in whole units: cents and the like, units, thousands, millions.

@@ -10,7 +10,7 @@ from millrace.operators.redelivery import redelivered
 from millrace.operators.rejects import ORDER_FIELDS, load_records, loaded, rejected
 from millrace.operators.timestamps import utc_instants
 from millrace.operators.units import identity_scales, in_hundredths
-from millrace.session import table
+from millrace.session import small, table
 
 
 def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -89,10 +89,12 @@ _PLAIN = "^[0-9]{1,12}([.][0-9]{1,6})?$"
 
 
 def p7_plain(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The amounts of p7_found that are plain figures with a currency's code."""
+    """The amounts of p7_found that are plain figures with a currency's code: all rows are converted, then those that the SQL names are taken."""
     currencies = table(spark, sf_dir, "ref_currency")
-    rows = table(spark, sf_dir, "spark_loader").where(F.col("total_amount").rlike(_PLAIN) & F.col("currency").rlike("^[A-Z]{3}$"))
-    return in_hundredths(rows, currencies, "loader_id", currency="currency").where("yer_hundredths is not null").select("loader_id", "yer_hundredths")
+    amounts = in_hundredths(table(spark, sf_dir, "spark_loader"), currencies, "loader_id", currency="currency", keep=("total_amount", "currency"))
+    plain = F.col("total_amount").rlike(_PLAIN.removesuffix("$") + r"\z")  # in Java $ also stands before a last line break
+    coded = amounts.where(plain).join(small(currencies.select("currency_code")), F.col("currency") == F.col("currency_code"))
+    return coded.where("yer_hundredths is not null").select("loader_id", "yer_hundredths")
 
 
 def p7_scales(spark: SparkSession, sf_dir: str) -> DataFrame:
